@@ -8,7 +8,7 @@ import datetime as dt
 from pyspark.sql import Column, functions as F
 
 from posterwall.constants import MONTHS_EN, WEEKDAYS_EN
-from posterwall.functions.text import WS, _col, falsy_to_null, ws_trim
+from posterwall.functions.text import WS, _col, falsy_to_null, let, ws_trim
 
 # The building blocks of the accepted date texts. Names match in any case, a day
 # has no leading zero, hours and minutes have two digits, single spaces separate the parts.
@@ -67,26 +67,43 @@ def _decompose(text: Column, shapes) -> Column:
 def _timestamp(fields: Column, year: Column, check_weekday: bool = True) -> Column:
     """Timestamp of decomposed fields; NULL for a day or an hour that does not exist and for a
     weekday that is not the day's. 24:00 is midnight of the next day."""
-    part = F.split(fields, r"\|")
-    number = lambda i: part[i].try_cast("int")
-    month = F.array_position(
-        F.array(*[F.lit(m[:3]) for m in MONTHS_EN]), F.lower(F.left(part[2], F.lit(3)))
-    ).cast("int")
-    hour = F.coalesce(number(4), F.lit(0))
-    minute = F.coalesce(number(5), F.lit(0))
-    next_midnight = (hour == 24) & (minute == 0)
-    parsed = F.try_make_timestamp(
-        F.coalesce(number(3), year),
-        month,
-        number(1),
-        F.when(next_midnight, 0).otherwise(hour),
-        minute,
-        F.lit(0).cast("decimal(16,6)"),
+
+    def build(part: Column) -> Column:
+        month = F.array_position(
+            F.array(*[F.lit(m[:3]) for m in MONTHS_EN]), F.lower(F.left(part[2], F.lit(3)))
+        )
+        next_midnight = (part[4] == "24") & (part[5] == "00")
+        hour = F.when(next_midnight, 0).otherwise(F.coalesce(part[4].try_cast("int"), F.lit(0)))
+        parsed = F.try_make_timestamp(
+            F.coalesce(part[3].try_cast("int"), year),
+            month.cast("int"),
+            part[1].try_cast("int"),
+            hour,
+            F.coalesce(part[5].try_cast("int"), F.lit(0)),
+            F.lit(0).cast("decimal(16,6)"),
+        )
+        days_later = F.make_dt_interval(F.when(next_midnight, 1).otherwise(0))
+        if not check_weekday:
+            return parsed + days_later
+
+        def on_weekday(ts: Column) -> Column:
+            right_day = F.lower(F.date_format(ts, "EEEE")).startswith(F.lower(part[0]))
+            return F.when(right_day, ts + days_later)
+
+        return let(parsed, on_weekday)
+
+    return let(F.split(fields, r"\|"), build)
+
+
+def _next_occurrence(fields: Column, today: Column) -> Column:
+    """The day in the year of today, or in the next year if it has passed."""
+    year = F.year(today)
+    return let(
+        _timestamp(fields, year, check_weekday=False),
+        lambda ts: F.when(ts.cast("date") >= today, ts).when(
+            ts.isNotNull(), _timestamp(fields, year + 1, check_weekday=False)
+        ),
     )
-    if check_weekday:
-        day_name = F.lower(F.date_format(parsed, "EEEE"))
-        parsed = F.when((part[0] == "") | day_name.startswith(F.lower(part[0])), parsed)
-    return F.when(next_midnight, parsed + F.expr("INTERVAL 1 DAY")).otherwise(parsed)
 
 
 def parse_event_date(date_text, as_of, time_text=None) -> Column:
@@ -100,19 +117,18 @@ def parse_event_date(date_text, as_of, time_text=None) -> Column:
         time = ws_trim(F.coalesce(_col(time_text), F.lit("")))
         text = F.when(time != "", F.concat(ws_trim(text), F.lit(" "), time)).otherwise(text)
     today = _as_of(as_of).cast("date")
-    this_year = F.year(today)
-
-    start = ws_trim(F.regexp_extract(text, _RANGE, 1))
-    from_range = _timestamp(_decompose(start, _RANGE_START_SHAPES), this_year)
-
-    short = F.when(text.rlike(_SHORT), F.regexp_replace(text, _SHORT, "|$1|$2||$3|$4"))
-    in_this_year = _timestamp(short, this_year, check_weekday=False)
-    from_short = F.when(in_this_year.cast("date") >= today, in_this_year).when(
-        in_this_year.isNotNull(), _timestamp(short, this_year + 1, check_weekday=False)
-    )
 
-    whole = _timestamp(_decompose(text, _WHOLE_TEXT_SHAPES), this_year)
-    return F.coalesce(from_range, from_short, whole)
+    def parse(text: Column) -> Column:
+        start = ws_trim(F.regexp_extract(text, _RANGE, 1))
+        from_range = let(start, lambda t: _timestamp(_decompose(t, _RANGE_START_SHAPES), F.year(today)))
+        short = F.when(text.rlike(_SHORT), F.regexp_replace(text, _SHORT, "|$1|$2||$3|$4"))
+        from_short = let(short, lambda f: _next_occurrence(f, today))
+        whole = _timestamp(_decompose(text, _WHOLE_TEXT_SHAPES), F.year(today))
+        return F.coalesce(
+            F.when(text.rlike(_RANGE), from_range), F.when(text.rlike(_SHORT), from_short), whole
+        )
+
+    return let(text, parse)
 
 
 def parse_event_dates(dates_times, as_of) -> Column:

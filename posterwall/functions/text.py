@@ -12,6 +12,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ws_trim(c) -> Column:
     """Trim every kind of white space, no-break space included."""
     return F.regexp_replace(_col(c), f"^{WS}+|{WS}+$", "")
