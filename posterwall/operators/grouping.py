@@ -46,21 +46,35 @@ def merge_duplicates(
     events has name, address, city_id, days (NULL means the day of date_start), date_start,
     date_end and the price bounds. Days and prices are united, the holding text is rebuilt.
     """
-    own_days = F.coalesce(
-        F.col("days"), F.filter(F.array(F.to_date("date_start")), lambda d: d.isNotNull())
-    )
-    merged = events.withColumn("_days", own_days).groupBy(
+    single_day = F.filter(F.array(F.to_date("date_start")), lambda d: d.isNotNull())
+    # One row per day; only the first one of an event carries the rest, so that the extra rows
+    # are narrow and the set of days stays the only collected state.
+    by_day = events.select(
         ws_trim("name").alias("_name"),
         ws_trim("address").alias("_address"),
         F.coalesce("city_id", F.lit("")).alias("_city"),
-    ).agg(
-        _first_by(order, ["name", "address", "city_id", *keep]).alias("_first"),
-        F.min(F.struct(*order)).alias("ord"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_days")))).alias("days"),
-        F.min(F.when(F.size("_days") > 0, F.col("date_start"))).alias("date_start"),
-        F.max(F.when(F.size("_days") > 0, F.col("date_end"))).alias("date_end"),
-        F.least(F.min("min_price"), F.min("max_price")).alias("min_price"),
-        F.greatest(F.max("min_price"), F.max("max_price")).alias("max_price"),
+        F.struct("name", "address", "city_id", *keep).alias("_row"),
+        F.struct(*order).alias("_ord"),
+        "date_start",
+        F.when(F.col("days").isNull(), F.col("date_start")).otherwise(F.col("date_end")).alias("date_end"),
+        "min_price",
+        "max_price",
+        F.posexplode_outer(F.coalesce("days", single_day)).alias("_i", "_day"),
+    )
+    leading = F.coalesce("_i", F.lit(0)) == 0
+    merged = (
+        by_day.withColumn("_row", F.when(leading, F.col("_row")))
+        .withColumn("_ord", F.when(leading, F.col("_ord")))
+        .groupBy("_name", "_address", "_city")
+        .agg(
+            F.min_by("_row", "_ord").alias("_first"),
+            F.min("_ord").alias("ord"),
+            F.array_sort(F.collect_set("_day")).alias("days"),
+            F.min("date_start").alias("date_start"),
+            F.max("date_end").alias("date_end"),
+            F.least(F.min("min_price"), F.min("max_price")).alias("min_price"),
+            F.greatest(F.max("min_price"), F.max("max_price")).alias("max_price"),
+        )
     )
     holding = format_holding_date("days", False, chronological, genitive)
     return merged.select(
