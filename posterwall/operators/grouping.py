@@ -11,23 +11,18 @@ from posterwall.functions.holding import format_holding_date
 from posterwall.functions.text import ws_trim
 
 
-def _first_by(order, columns) -> Column:
-    """The columns of the row that comes first."""
-    return F.min_by(F.struct(*columns), F.struct(*order))
-
-
-def group_slots(slots: DataFrame, order, keep, tour: str = "tour") -> DataFrame:
+def group_slots(slots: DataFrame, order: Column, keep, tour: str = "tour") -> DataFrame:
     """Groups of a tour's slots with the same trimmed title and address.
 
-    slots has title, address, start and price; the first slot of a group supplies `keep`. Adds
-    ord (the order struct of that slot), days, date_start, date_end (of the start dates) and the
-    price bounds.
+    slots has title, address, start and price; the first slot of a group by `order` supplies
+    title, address and `keep`. Adds ord (the order of that slot), days, date_start and date_end
+    (both of the start dates) and the price bounds.
     """
     return (
         slots.groupBy(tour, ws_trim("title").alias("_title"), ws_trim("address").alias("_address"))
         .agg(
-            _first_by(order, ["title", "address", *keep]).alias("_first"),
-            F.min(F.struct(*order)).alias("ord"),
+            F.min_by(F.struct("title", "address", *keep), order).alias("_first"),
+            F.min(order).alias("ord"),
             F.array_sort(F.collect_set(F.to_date("start"))).alias("days"),
             F.min("start").alias("date_start"),
             F.max("start").alias("date_end"),
@@ -39,7 +34,7 @@ def group_slots(slots: DataFrame, order, keep, tour: str = "tour") -> DataFrame:
 
 
 def merge_duplicates(
-    events: DataFrame, order, keep, chronological: bool = False, genitive: bool = False
+    events: DataFrame, order: Column, keep, chronological: bool = False, genitive: bool = False
 ) -> DataFrame:
     """One event per trimmed name, trimmed address and city; the first event supplies the rest.
 
@@ -54,7 +49,7 @@ def merge_duplicates(
         ws_trim("address").alias("_address"),
         F.coalesce("city_id", F.lit("")).alias("_city"),
         F.struct("name", "address", "city_id", *keep).alias("_row"),
-        F.struct(*order).alias("_ord"),
+        order.alias("_ord"),
         "date_start",
         F.when(F.col("days").isNull(), F.col("date_start")).otherwise(F.col("date_end")).alias("date_end"),
         "min_price",
