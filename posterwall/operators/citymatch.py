@@ -1,76 +1,128 @@
 """Resolve free text to a city of the dimension by substring, first city in order wins.
 
-A city matches when one of its tokens contains the text or the text contains the token. A string
-that contains another one also contains its first three characters, so both directions are one
-equi-join on short grams whose candidates are then verified; no pair of text and city is formed
-that does not share a gram. Only distinct texts are matched. They stay partitioned by text through
-the explode and the broadcast join, so the final minimum per text needs no second shuffle.
+A city matches when one of its tokens contains the text or the text contains the token. Both are
+equality joins with at most one partner per key, so no pair of text and city is formed that does
+not match, whatever the names have in common:
+
+- text contains token: the substrings of the text that are as long as some token, joined with the
+  distinct tokens;
+- token contains text: the text itself, joined with the distinct substrings of all tokens, each
+  with the first city that has it.
+
+Only distinct texts are matched. They stay partitioned by text through the explode and the
+broadcast join, so that the minimum per text needs no second shuffle.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from posterwall.functions.text import _col, city_tokens, clean_address, normalize
-from posterwall.session import broadcast_if_small
+from posterwall.session import BROADCAST_MAX_CHARS, BROADCAST_MAX_ROWS, broadcast_if_small
 
-GRAM = 3
-HOLDS_TOKEN = ">"  # key prefix: the text contains the token
-IN_TOKEN = "<"  # key prefix: the token contains the text
+# Tokens above this length are not cut into all their substrings; see _inside_long_tokens.
+LONG_TOKEN = 64
+HEAD = 3
 
 _CITY = ("_id", "country_id", "name", "coordinates", "city_ord")
 
 
-def token_table(cities: DataFrame) -> DataFrame:
-    """Distinct tokens of the dimension with the first city that has each."""
-    return (
+@dataclass(frozen=True)
+class CityIndex:
+    """Join tables of the dimension. Their sizes are known before anything is broadcast."""
+
+    tokens: DataFrame  # token, city_ord
+    substrings: DataFrame  # text, city_ord, long_ord (first city with a token of four or more)
+    lengths: list[int]  # token lengths that occur; bounded by the longest name
+    has_long: bool
+
+
+def build_index(cities: DataFrame) -> CityIndex:
+    tokens = (
         cities.select("city_ord", F.explode(city_tokens("name")).alias("token"))
         .groupBy("token")
         .agg(F.min("city_ord").alias("city_ord"))
     )
+    size = F.when(F.length("token") <= LONG_TOKEN, F.length("token").cast("bigint")).otherwise(0)
+    measured = tokens.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.length("token")).alias("chars"),
+        F.sum(size * (size + 1) / 2).alias("cuts"),
+        F.sum(size * (size + 1) * (size + 2) / 6).alias("cut_chars"),
+        F.collect_set(F.length("token")).alias("lengths"),
+    ).first()
+
+    cut = F.substring(F.col("token"), F.col("start"), F.col("size"))
+    starts = F.explode(F.sequence(F.lit(1), F.length("token"))).alias("start")
+    substrings = (
+        tokens.where(F.length("token") <= LONG_TOKEN)
+        .select("token", "city_ord", starts)
+        .select("*", F.explode(F.sequence(F.lit(1), F.length("token") - F.col("start") + 1)).alias("size"))
+        .groupBy(cut.alias("text"))
+        .agg(
+            F.min("city_ord").alias("city_ord"),
+            F.min(F.when(F.length("token") >= 4, F.col("city_ord"))).alias("long_ord"),
+        )
+    )
 
+    def bounded(df: DataFrame, rows, chars) -> DataFrame:
+        small = (rows or 0) <= BROADCAST_MAX_ROWS and (chars or 0) <= BROADCAST_MAX_CHARS
+        return F.broadcast(df) if small else df
 
-def _grams(text: Column) -> Column:
-    """All distinct substrings of one to GRAM characters."""
-    ends = F.sequence(F.lit(1), F.length(text))
-    by_size = [F.transform(ends, lambda i, n=n: F.substring(text, i, F.lit(n))) for n in range(1, GRAM + 1)]
-    return F.array_distinct(F.concat(*by_size))
+    lengths = sorted(measured["lengths"])
+    return CityIndex(
+        bounded(tokens, measured["n"], measured["chars"]),
+        bounded(substrings, measured["cuts"], measured["cut_chars"]),
+        lengths,
+        bool(lengths) and lengths[-1] > LONG_TOKEN,
+    )
 
 
-def _head(text: Column) -> Column:
-    return F.left(text, F.lit(GRAM))
+def _cuts(text: Column, size: int) -> Column:
+    """The substrings of the given size; empty if the text is shorter."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1))
+    cuts = F.transform(starts, lambda start: F.substring(text, start, F.lit(size)))
+    return F.coalesce(cuts, F.array().cast("array<string>"))
 
 
-def _keyed_tokens(tokens: DataFrame) -> DataFrame:
-    token = F.col("token")
-    keys = F.concat(
-        F.array(F.concat(F.lit(HOLDS_TOKEN), _head(token))),
-        F.transform(_grams(token), lambda g: F.concat(F.lit(IN_TOKEN), g)),
-    )
-    keyed = tokens.select(F.explode(keys).alias("key"), "token", "city_ord")
-    return broadcast_if_small(keyed, F.length("key") + F.length("token") + 8)
+def _holding_tokens(texts: DataFrame, index: CityIndex) -> DataFrame:
+    """texts(text, ...) with each token inside the text and the token's first city."""
+    none = F.array().cast("array<string>")
+    cuts = F.concat(none, *[_cuts(F.col("text"), n) for n in index.lengths])
+    return texts.withColumn("token", F.explode(F.array_distinct(cuts))).join(index.tokens, "token")
 
 
-def _candidates(texts: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Pairs of a text and a token where one contains the other; a pair may come twice."""
-    text, token = F.col("text"), F.col("token")
-    keys = F.concat(
-        F.array(F.concat(F.lit(IN_TOKEN), _head(text))),
-        F.transform(_grams(text), lambda g: F.concat(F.lit(HOLDS_TOKEN), g)),
+def _inside_tokens(texts: DataFrame, index: CityIndex) -> DataFrame:
+    """texts(text, ...) that are inside a token, with city_ord and long_ord."""
+    found = texts.join(index.substrings, "text")
+    if index.has_long:
+        found = found.unionByName(_inside_long_tokens(texts, index))
+    return found
+
+
+def _inside_long_tokens(texts: DataFrame, index: CityIndex) -> DataFrame:
+    """The same for tokens of unusual length: candidates share the head of the text."""
+    token = F.col("token")
+    heads = F.concat(*[_cuts(token, n) for n in range(1, HEAD + 1)])
+    long_tokens = index.tokens.where(F.length(token) > LONG_TOKEN).select(
+        "token", "city_ord", F.explode(F.array_distinct(heads)).alias("head")
     )
-    keyed = texts.withColumn("key", F.explode(keys))
-    return keyed.join(_keyed_tokens(tokens), "key").where(
-        F.when(F.col("key").startswith(HOLDS_TOKEN), text.contains(token)).otherwise(
-            token.contains(text)
-        )
+    return (
+        texts.withColumn("head", F.left("text", F.lit(HEAD)))
+        .join(long_tokens, "head")
+        .where(token.contains(F.col("text")))
+        .withColumn("long_ord", F.when(F.length(token) >= 4, F.col("city_ord")))
+        .drop("head", "token")
     )
 
 
-def match_simple(targets: DataFrame, tokens: DataFrame) -> DataFrame:
+def match_simple(targets: DataFrame, index: CityIndex) -> DataFrame:
     """(target, city_ord) of the first city with any token inside or around the target."""
-    return (
-        _candidates(targets.withColumn("text", F.col("target")), tokens)
-        .groupBy("target")
-        .agg(F.min("city_ord").alias("city_ord"))
+    texts = targets.withColumn("text", F.col("target"))
+    hits = _holding_tokens(texts, index).select("target", "city_ord").unionByName(
+        _inside_tokens(texts, index).select("target", "city_ord")
     )
+    return hits.groupBy("target").agg(F.min("city_ord").alias("city_ord"))
 
 
 def address_probes(target) -> Column:
@@ -79,7 +131,7 @@ def address_probes(target) -> Column:
     The last three parts count, last first. Of a part come its words from right to left, each
     followed by itself with its left neighbour, and at the end the whole part.
     """
-    trimmed = F.transform(F.split(_col(target), "[,•]"), F.trim)
+    trimmed = F.transform(F.split(_col(target), "[,•]"), lambda p: F.trim(p))
     parts = F.slice(F.reverse(F.filter(trimmed, lambda p: p != "")), 1, 3)
 
     def probe(kind: str, text: Column) -> Column:
@@ -100,26 +152,32 @@ def address_probes(target) -> Column:
     return F.filter(F.flatten(F.transform(parts, of_part)), lambda p: p["text"].isNotNull())
 
 
-def match_address(targets: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(target, city_ord) of the city hit by the earliest probe of an address."""
+def match_address(targets: DataFrame, index: CityIndex) -> DataFrame:
+    """(target, city_ord) of the city hit by the earliest probe of an address.
+
+    A word or a whole part counts only if it or the token has four characters; a word that equals
+    a token and a pair of words always count.
+    """
     probes = targets.select("target", F.posexplode(address_probes("target")).alias("rank", "probe"))
     probes = probes.select("target", "rank", F.col("probe.kind"), F.col("probe.text"))
-    long_enough = (F.length("text") >= 4) | (F.length("token") >= 4)
+    free = (F.col("kind") == "pair") | (F.length("text") >= 4)
     exact_word = (F.col("kind") == "word") & (F.col("text") == F.col("token"))
-    return (
-        _candidates(probes, tokens)
-        .where((F.col("kind") == "pair") | exact_word | long_enough)
-        .groupBy("target")
-        .agg(F.min(F.struct("rank", "city_ord")).alias("best"))
-        .select("target", F.col("best.city_ord").alias("city_ord"))
+    holding = _holding_tokens(probes, index).where(free | exact_word | (F.length("token") >= 4))
+    inside = _inside_tokens(probes, index).withColumn(
+        "city_ord", F.when(free, F.col("city_ord")).otherwise(F.col("long_ord"))
+    )
+    hits = holding.select("target", "rank", "city_ord").unionByName(
+        inside.where(F.col("city_ord").isNotNull()).select("target", "rank", "city_ord")
     )
+    best = hits.groupBy("target").agg(F.min(F.struct("rank", "city_ord")).alias("best"))
+    return best.select("target", F.col("best.city_ord").alias("city_ord"))
 
 
-def _attach(df: DataFrame, cities: DataFrame, target: Column, matcher, out: str) -> DataFrame:
+def _attach(df: DataFrame, cities: DataFrame, target: Column, match, out: str) -> DataFrame:
     keyed = df.withColumn("_target", F.nullif(normalize(target), F.lit("")))
     targets = keyed.where(F.col("_target").isNotNull()).select(F.col("_target").alias("target")).distinct()
     found = cities.select("city_ord", F.struct(*_CITY).alias(out))
-    resolved = matcher(targets, token_table(cities)).join(broadcast_if_small(found), "city_ord")
+    resolved = match(targets, build_index(cities)).join(broadcast_if_small(found), "city_ord")
     return keyed.join(
         resolved.select(F.col("target").alias("_target"), out), "_target", "left"
     ).drop("_target")

@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from posterwall.constants import DEFAULT_SPECIALIZATION
 from posterwall.schemas import EVENT_COLUMNS, EVENT_DATA
@@ -21,7 +21,7 @@ class RunParameters:
 
 def to_events(df: DataFrame, params: RunParameters, source: str, order: str = "ord") -> DataFrame:
     """Exactly the event columns plus `ord`; columns a source does not fill are NULL."""
-    types = {f.name: f.dataType for f in df.sparkSession.createDataFrame([], f"e {EVENT_DATA}").schema["e"].dataType}
+    types = {f.name: f.dataType for f in T.StructType.fromDDL(f"e {EVENT_DATA}")["e"].dataType}
     filled = df.withColumns(
         {
             "operationId": F.lit(params.run_id),
