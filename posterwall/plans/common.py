@@ -2,10 +2,10 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from posterwall.constants import DEFAULT_SPECIALIZATION
-from posterwall.schemas import EVENT_COLUMNS, EVENT_DATA
+from posterwall.schemas import EVENT_FIELDS
 
 
 @dataclass(frozen=True)
@@ -21,7 +21,6 @@ class RunParameters:
 
 def to_events(df: DataFrame, params: RunParameters, source: str, order: str = "ord") -> DataFrame:
     """Exactly the event columns plus `ord`; columns a source does not fill are NULL."""
-    types = {f.name: f.dataType for f in T.StructType.fromDDL(f"e {EVENT_DATA}")["e"].dataType}
     filled = df.withColumns(
         {
             "operationId": F.lit(params.run_id),
@@ -30,7 +29,8 @@ def to_events(df: DataFrame, params: RunParameters, source: str, order: str = "o
         }
     )
     columns = [
-        (F.col(c) if c in filled.columns else F.lit(None)).cast(types[c]).alias(c) for c in EVENT_COLUMNS
+        (F.col(c) if c in filled.columns else F.lit(None)).cast(kind).alias(c)
+        for c, kind in EVENT_FIELDS.items()
     ]
     return filled.select(*columns, F.col(order).alias("ord"))
 

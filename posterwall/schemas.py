@@ -1,7 +1,5 @@
 """Table and relation schemas. JSON and Parquet are always read with one of these."""
 
-from pyspark.sql import types as T
-
 COUNTRIES = "_id STRING, name STRING, flag_url STRING, created_at TIMESTAMP, updated_at TIMESTAMP"
 
 CITIES = (
@@ -15,13 +13,29 @@ OPERATIONS = (
     "created_at TIMESTAMP, updated_at TIMESTAMP"
 )
 
-EVENT_DATA = (
-    "STRUCT<name: STRING, description: STRING, specialization: STRING, admin_id: STRING, "
-    "country_id: STRING, city_id: STRING, operationId: STRING, contacts: STRUCT<website: STRING>, "
-    "photos: ARRAY<STRUCT<full_url: STRING>>, holding_date: STRING, date_start: TIMESTAMP, "
-    "date_end: TIMESTAMP, source: STRING, address: STRING, lat: DOUBLE, lon: DOUBLE, "
-    "is_special_point_on_map: BOOLEAN, min_price: DOUBLE, max_price: DOUBLE>"
-)
+# The payload of a staged event; a plan ends with exactly these columns.
+EVENT_FIELDS = {
+    "name": "STRING",
+    "description": "STRING",
+    "specialization": "STRING",
+    "admin_id": "STRING",
+    "country_id": "STRING",
+    "city_id": "STRING",
+    "operationId": "STRING",
+    "contacts": "STRUCT<website: STRING>",
+    "photos": "ARRAY<STRUCT<full_url: STRING>>",
+    "holding_date": "STRING",
+    "date_start": "TIMESTAMP",
+    "date_end": "TIMESTAMP",
+    "source": "STRING",
+    "address": "STRING",
+    "lat": "DOUBLE",
+    "lon": "DOUBLE",
+    "is_special_point_on_map": "BOOLEAN",
+    "min_price": "DOUBLE",
+    "max_price": "DOUBLE",
+}
+EVENT_DATA = "STRUCT<" + ", ".join(f"{name}: {kind}" for name, kind in EVENT_FIELDS.items()) + ">"
 
 STAGED_EVENTS = (
     f"operation STRING, batch_number BIGINT, seq BIGINT, event_data {EVENT_DATA}, "
@@ -46,8 +60,3 @@ FEED = (
 )
 
 RUN_LOG = "operation STRING, ts TIMESTAMP, message STRING"
-
-# The columns of EVENT_DATA in order; a pipeline ends with exactly these.
-EVENT_COLUMNS = tuple(
-    f.name for f in T.StructType.fromDDL(f"event_data {EVENT_DATA}")["event_data"].dataType.fields
-)
