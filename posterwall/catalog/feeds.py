@@ -50,7 +50,7 @@ def _feed(spark, sf_dir):
         "~,~esLink~:~https://example.org/", key, "~,~esPictureSmall~:~p", key, "~,~events~:", events, "}]}",
     )
     path = shared_dir(spark, "feed")
-    fx.table(spark, sf_dir, "orders").select(document.alias("value")).write.option("compression", "gzip").text(path)
+    fx.spread(fx.table(spark, sf_dir, "orders"), "o_orderkey").select(document.alias("value")).write.option("compression", "gzip").text(path)
     documents = read_feed(spark, path, multi_line=False).withColumn(
         "o_orderkey", F.expr("try_cast(substring(eventserie[0].esName, 8) AS BIGINT)")
     )
@@ -132,7 +132,7 @@ def _submissions(spark, sf_dir):
         F.when(key % 13 == 0, F.concat("props", F.lit("{"))).when(key % 13 == 1, F.concat(F.lit("["), "props", F.lit("]")))
         .when(key % 13 == 2, "").when(key % 13 == 3, F.concat("props", F.lit(","), "props")).otherwise(F.col("props"))
     )
-    return fx.table(spark, sf_dir, "events").select(
+    return fx.spread(fx.table(spark, sf_dir, "events"), "event_id").select(
         key.alias("_id"), data.alias("data"), (F.col("event_type") != "signup").alias("is_processed"), F.col("ts").alias("created_at")
     )
 

@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash the rows of a table with fewer files than cores over all cores, for queries that work
+    hard on each row. A table of many files is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+
+
 def text_of(ts) -> Column:
     """Timestamps leave a query as text, the same in every engine and time zone."""
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
@@ -74,7 +81,7 @@ def city_lookup_sql(name: str, source: str, target: str, cities: str = "cities",
 # Schedule slots: one per line item, the order is the tour.
 
 def slots(spark, sf_dir) -> DataFrame:
-    lineitem = table(spark, sf_dir, "lineitem")
+    lineitem = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from posterwall.catalog.fixtures import sql_text_of, table, text_of
+from posterwall.catalog.fixtures import spread, sql_text_of, table, text_of
 from posterwall.catalog.registry import query
 from posterwall.constants import MONTHS_RU_GENITIVE, MONTHS_RU_NOMINATIVE, SCHEDULE_HOST
 from posterwall.functions import dates, holding, numbers, text
@@ -19,7 +19,7 @@ _WS = r"[\t\n\x{0b}\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
         FROM documents""",
 )
 def normalize_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id", text.normalize("text").alias("normalized"), text.clean_address("text").alias("cleaned")
     )
 
@@ -170,7 +170,7 @@ def parse_event_dates(spark, sf_dir):
         written = F.when(key == i, F.concat(F.date_format(day, pattern), F.lit(suffix))).otherwise(written)
     new_year = F.trunc(day, "year")
     rolls = key.isin(*_ROLLING)
-    orders = table(spark, sf_dir, "orders").select(
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey").select(
         "o_orderkey", written.alias("date_text"), F.when(rolls, F.date_sub(new_year, 1)).otherwise(new_year).alias("as_of"),
         F.when(rolls & (F.month(day) == 12) & (F.dayofmonth(day) == 31), day).alias("stays"),
     )

@@ -26,9 +26,11 @@ SOLD_OUT_AVAILABILITY = "soldout"
 SOLD_OUT_TEXT = "распродан"
 
 # White space as the String.trim and \s of ECMAScript define it.
-WHITESPACE_CLASS = (
-    r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+WHITESPACE = (
+    "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
+WHITESPACE_CLASS = f"[{WHITESPACE}]"
 
 # Month and weekday names.
 MONTHS_EN = (

@@ -5,7 +5,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
-from posterwall.constants import LABEL_LENGTH, SCHEDULE_HOST, WHITESPACE_CLASS as WS
+from posterwall.constants import LABEL_LENGTH, SCHEDULE_HOST, WHITESPACE, WHITESPACE_CLASS as WS
 
 
 def _col(c) -> Column:
@@ -19,7 +19,7 @@ def let(value: Column, body) -> Column:
 
 def ws_trim(c) -> Column:
     """Trim every kind of white space, no-break space included."""
-    return F.regexp_replace(_col(c), f"^{WS}+|{WS}+$", "")
+    return F.btrim(_col(c), F.lit(WHITESPACE))
 
 
 def ws_collapse(c) -> Column:
@@ -56,8 +56,9 @@ def _accent_table() -> tuple[str, str]:
 def normalize(c) -> Column:
     """Lower case without accents, white space collapsed and trimmed."""
     source, target = _accent_table()
-    plain = F.translate(F.lower(F.coalesce(_col(c), F.lit(""))), source, target)
-    return F.trim(ws_collapse(plain))
+    low = F.lower(F.coalesce(_col(c), F.lit("")))
+    is_ascii = F.octet_length(low) == F.length(low)
+    return F.trim(ws_collapse(F.when(is_ascii, low).otherwise(F.translate(low, source, target))))
 
 
 def city_tokens(name) -> Column:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from posterwall.functions.text import _col, city_tokens, clean_address, normalize
-from posterwall.session import BROADCAST_MAX_CHARS, BROADCAST_MAX_ROWS, broadcast_if_small
+from posterwall.session import BROADCAST_MAX_CHARS, BROADCAST_MAX_ROWS, broadcast_if_small, materialize
 
 # Tokens above this length are not cut into all their substrings; see _inside_long_tokens.
 LONG_TOKEN = 64
@@ -174,13 +174,19 @@ def match_address(targets: DataFrame, index: CityIndex) -> DataFrame:
 
 
 def _attach(df: DataFrame, cities: DataFrame, target: Column, match, out: str) -> DataFrame:
+    """df with the matched city of each row.
+
+    The matches of the distinct targets are written first. Their size is then known: as long as
+    they fit a broadcast, the rows of df are not shuffled at all. Otherwise the join shuffles, and
+    AQE splits the partition of a target that many rows share.
+    """
     keyed = df.withColumn("_target", F.nullif(normalize(target), F.lit("")))
     targets = keyed.where(F.col("_target").isNotNull()).select(F.col("_target").alias("target")).distinct()
     found = cities.select("city_ord", F.struct(*_CITY).alias(out))
-    resolved = match(targets, build_index(cities)).join(broadcast_if_small(found), "city_ord")
-    return keyed.join(
-        resolved.select(F.col("target").alias("_target"), out), "_target", "left"
-    ).drop("_target")
+    matches = match(targets, build_index(cities)).join(found, "city_ord")
+    resolved = materialize(matches.select(F.col("target").alias("_target"), out), "matches")
+    width = F.length("_target") + F.length(F.col(out)["name"]) + 64
+    return keyed.join(broadcast_if_small(resolved, width), "_target", "left").drop("_target")
 
 
 def resolve_city(df: DataFrame, cities: DataFrame, target, out: str = "city") -> DataFrame:
