@@ -13,6 +13,7 @@ from posterwall.operators.series import group_series_rows
 from posterwall.operators.stats import city_scrape_stats
 from posterwall.plans.common import RunParameters
 from posterwall.plans.schedule import SLOT_KEEP, resolve_slots, slots_to_events
+from posterwall.session import materialize
 
 PARAMS = RunParameters(run_id="run-1", admin_id="admin-1")
 
@@ -98,7 +99,8 @@ def merge_duplicate_events(spark, sf_dir):
 )
 def staged_schedule_events(spark, sf_dir):
     """The flagship: slots to merged events in numbered batches of one run."""
-    events = merged_events(spark, sf_dir).withColumn("operation", F.lit("run-1"))
+    # Written once, as the sink does it: numbering reads its input more than once.
+    events = materialize(merged_events(spark, sf_dir).withColumn("operation", F.lit("run-1")), "events")
     return assign_batches(events, ["ord"]).select("name", "address", "city_id", "seq", "batch_number")
 
 

@@ -15,13 +15,14 @@ def build_session(app_name: str = "posterwall", **conf) -> SparkSession:
     """A session with the settings the operators are tuned for.
 
     Day arithmetic needs UTC. AQE splits skewed join partitions and picks the number of
-    reduce tasks.
+    reduce tasks. Pages go to Python in small batches, since each may be large.
     """
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
