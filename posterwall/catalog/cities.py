@@ -8,6 +8,9 @@ from posterwall.functions.text import city_tokens
 from posterwall.operators import sync
 from posterwall.operators.citymatch import resolve_city, resolve_city_of_address
 from posterwall.operators.filters import choose_cities, cities_with_ids, city_funnel, eligible_cities
+from posterwall.session import shared_dir
+from posterwall.sinks import tables
+from posterwall.sources.tables import read_cities
 
 
 @query("city_tokens", f"WITH {fx.CITIES} SELECT c._id, t.tok AS token FROM tokens t JOIN cities c USING (city_ord)")
@@ -186,3 +189,22 @@ def sync_statistics(spark, sf_dir):
         for mode, replace in (("insert", False), ("replace", True))
     ]
     return parts[0].unionByName(parts[1])
+
+
+@query(
+    "sync_city_table",
+    f"""WITH {_INCOMING}
+        SELECT _id, 'known' AS name, city_ord FROM existing
+        UNION ALL
+        SELECT _id, name, row_number() OVER (ORDER BY ord) + (SELECT max(city_ord) FROM existing)
+        FROM first_rows WHERE _id NOT IN (SELECT _id FROM existing)""",
+)
+def sync_city_table(spark, sf_dir):
+    """Insert-only sync of a written table."""
+    path = shared_dir(spark, "cities")
+    incoming = _incoming(spark, sf_dir)
+    known = _existing(spark, sf_dir).withColumn("name", F.lit("known"))
+    columns = ("_id", "country_id", "name", "sort", "coordinates", "city_ord")
+    known.unionByName(incoming.limit(0), allowMissingColumns=True).select(*columns).write.parquet(path)
+    tables.sync_cities(spark, incoming, path)
+    return read_cities(spark, path).select("_id", "name", "city_ord")

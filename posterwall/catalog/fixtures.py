@@ -22,10 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash the rows of a table with fewer files than cores over all cores, for queries that work
-    hard on each row. A table of many files is left as it is read."""
+    """Hash the rows of a table that is read by fewer tasks than there are cores over all cores,
+    for queries that work hard on each row. A big table is left as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def text_of(ts) -> Column:

@@ -7,6 +7,9 @@ from posterwall.catalog.registry import query
 from posterwall.operators import retention, runs, stats
 from posterwall.operators.filters import is_run_type
 from posterwall.operators.numbering import assign_batches
+from posterwall.plans.common import RunParameters, to_events
+from posterwall.session import shared_dir
+from posterwall.sinks import tables
 
 
 def _staged(spark, sf_dir):
@@ -170,3 +173,51 @@ def run_life_cycle(spark, sf_dir):
 def run_type_check(spark, sf_dir):
     wrong = F.when(F.col("_id").endswith("7"), F.lower("type")).otherwise(F.col("type"))
     return fx.operations(spark, sf_dir).select("_id", is_run_type(wrong).alias("valid"))
+
+
+# Sinks: orders as events of runs, written to and read from a staged table
+
+def _order_events(spark, sf_dir, run_id, orders=None):
+    orders = fx.table(spark, sf_dir, "orders") if orders is None else orders
+    rows = orders.select(
+        F.concat(F.lit("order "), "o_orderkey").alias("name"), F.col("o_orderdate").alias("date_start"),
+        F.col("o_totalprice").alias("min_price"), F.col("o_orderkey").alias("ord"),
+    )
+    return to_events(rows, RunParameters(run_id), "orders")
+
+
+@query(
+    "stage_and_page",
+    """SELECT 'run-1' AS operation, seq, cast(ceil(seq / 10.0) AS BIGINT) AS batch_number, 'order ' || o_orderkey AS name, o_totalprice AS min_price
+       FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS seq FROM orders) WHERE seq > 100 AND seq <= 150""",
+)
+def stage_and_page(spark, sf_dir):
+    """Stage all orders as one run, then read its third page of fifty."""
+    path = shared_dir(spark, "staged")
+    tables.stage_events(_order_events(spark, sf_dir, "run-1"), "run-1", ["ord"], F.col("date_start"), path)
+    first_day = F.min("o_orderdate").alias("created_at")
+    run = fx.table(spark, sf_dir, "orders").agg(first_day).withColumn("_id", F.lit("run-1"))
+    page = runs.page_of_events(tables.read_staged(spark, path), run, page=3, per_page=50)
+    return page.select("operation", "seq", "batch_number", "event_data.name", "event_data.min_price")
+
+
+@query(
+    "retention_delete",
+    f"""SELECT 'run-' || (o_orderkey % 3) AS operation, count(*) AS n, {fx.sql_text_of("min(o_orderdate)")} AS oldest
+        FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_orderdate < {_CUTOFF}) GROUP BY 1""",
+)
+def retention_delete(spark, sf_dir):
+    """Three staged runs; the first is done and old, the second failed, the third ended late."""
+    path = shared_dir(spark, "staged")
+    orders = fx.table(spark, sf_dir, "orders").withColumn("run", F.col("o_orderkey") % 3)
+    for number in range(3):
+        events = _order_events(spark, sf_dir, f"run-{number}", orders.where(F.col("run") == number))
+        tables.stage_events(events, f"run-{number}", ["ord"], F.col("date_start"), path)
+    ended = F.when(F.col("run") == 2, F.max("o_orderdate")).otherwise(F.min("o_orderdate"))
+    operations = orders.groupBy("run").agg(ended.alias("finish_time")).select(
+        F.concat(F.lit("run-"), "run").alias("_id"), "finish_time", F.lit(True).alias("is_processed"),
+        F.when(F.col("run") == 1, "error").otherwise("success").alias("status"),
+    )
+    tables.delete_expired(spark, path, operations, fx.AS_OF)
+    left = tables.read_staged(spark, path).groupBy("operation")
+    return left.agg(F.count(F.lit(1)).alias("n"), fx.text_of(F.min("created_at")).alias("oldest"))

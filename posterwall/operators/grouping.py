@@ -23,7 +23,7 @@ def group_slots(slots: DataFrame, order: Column, keep, tour: str = "tour") -> Da
         .agg(
             F.min_by(F.struct("title", "address", *keep), order).alias("_first"),
             F.min(order).alias("ord"),
-            F.array_sort(F.collect_set(F.to_date("start"))).alias("days"),
+            F.sort_array(F.collect_set(F.to_date("start"))).alias("days"),
             F.min("start").alias("date_start"),
             F.max("start").alias("date_end"),
             F.min("price").alias("min_price"),
@@ -64,7 +64,7 @@ def merge_duplicates(
         .agg(
             F.min_by("_row", "_ord").alias("_first"),
             F.min("_ord").alias("ord"),
-            F.array_sort(F.collect_set("_day")).alias("days"),
+            F.sort_array(F.collect_set("_day")).alias("days"),
             F.min("date_start").alias("date_start"),
             F.max("date_end").alias("date_end"),
             F.least(F.min("min_price"), F.min("max_price")).alias("min_price"),
