@@ -169,8 +169,9 @@ def match_address(targets: DataFrame, index: CityIndex) -> DataFrame:
     hits = holding.select("target", "rank", "city_ord").unionByName(
         inside.where(F.col("city_ord").isNotNull()).select("target", "rank", "city_ord")
     )
-    best = hits.groupBy("target").agg(F.min(F.struct("rank", "city_ord")).alias("best"))
-    return best.select("target", F.col("best.city_ord").alias("city_ord"))
+    # Two hash aggregates with states of fixed width; a minimum of structs would sort the hits.
+    by_rank = hits.groupBy("target", "rank").agg(F.min("city_ord").alias("city_ord"))
+    return by_rank.groupBy("target").agg(F.min_by("city_ord", "rank").alias("city_ord"))
 
 
 def _attach(df: DataFrame, cities: DataFrame, target: Column, match, out: str) -> DataFrame:
