@@ -69,9 +69,8 @@ def _timestamp(fields: Column, year: Column, check_weekday: bool = True) -> Colu
     weekday that is not the day's. 24:00 is midnight of the next day."""
 
     def build(part: Column) -> Column:
-        month = F.array_position(
-            F.array(*[F.lit(m[:3]) for m in MONTHS_EN]), F.lower(F.left(part[2], F.lit(3)))
-        )
+        months = F.split(F.lit(" ".join(m[:3] for m in MONTHS_EN)), " ")
+        month = F.array_position(months, F.lower(F.left(part[2], F.lit(3))))
         next_midnight = (part[4] == "24") & (part[5] == "00")
         hour = F.when(next_midnight, 0).otherwise(F.coalesce(part[4].try_cast("int"), F.lit(0)))
         parsed = F.try_make_timestamp(
@@ -131,12 +130,31 @@ def parse_event_date(date_text, as_of, time_text=None) -> Column:
     return let(text, parse)
 
 
+def _parse_each(dates_times: Column, as_of) -> Column:
+    return F.transform(dates_times, lambda d: parse_event_date(d["date"], as_of, d["time"]))
+
+
+def _present(dates: Column) -> Column:
+    return F.filter(dates, lambda t: t.isNotNull())
+
+
 def parse_event_dates(dates_times, as_of) -> Column:
     """Timestamps of an ARRAY<STRUCT<date, time>>, texts that do not parse left out."""
-    parsed = F.transform(
-        _col(dates_times), lambda d: parse_event_date(d["date"], as_of, d["time"])
-    )
-    return F.filter(parsed, lambda t: t.isNotNull())
+    return _present(_parse_each(_col(dates_times), as_of))
+
+
+def series_or_page_dates(dates_times, date_text, as_of) -> Column:
+    """The dates of a series, or the one of the page if the series gives none."""
+    page = F.struct(_col(date_text).alias("date"), F.lit("").alias("time"))
+    none = F.array().cast("ARRAY<STRUCT<date: STRING, time: STRING>>")
+    texts = F.concat(F.coalesce(_col(dates_times), none), F.array(page))
+
+    def choose(parsed: Column) -> Column:
+        of_series = _present(F.slice(parsed, F.lit(1), F.size(parsed) - 1))
+        of_page = _present(F.slice(parsed, F.size(parsed), F.lit(1)))
+        return let(of_series, lambda s: F.when(F.size(s) > 0, s).otherwise(of_page))
+
+    return let(_parse_each(texts, as_of), choose)
 
 
 def parse_iso(c) -> Column:

@@ -15,7 +15,8 @@ def build_session(app_name: str = "posterwall", **conf) -> SparkSession:
     """A session with the settings the operators are tuned for.
 
     Day arithmetic needs UTC. AQE splits skewed join partitions and picks the number of
-    reduce tasks. Pages go to Python in small batches, since each may be large.
+    reduce tasks. Pages go to Python in small batches, since each may be large. Recording the
+    Python call site of every column, meant for debugging, makes wide plans slow to build.
     """
     builder = (
         SparkSession.builder.appName(app_name)
@@ -23,6 +24,7 @@ def build_session(app_name: str = "posterwall", **conf) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
