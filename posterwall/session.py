@@ -1,8 +1,8 @@
 """Session settings and the shared folder for written intermediate tables."""
 
-import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -31,6 +31,11 @@ def build_session(app_name: str = "posterwall", **conf) -> SparkSession:
     return builder.getOrCreate()
 
 
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="posterwall-")
+
+
 def shared_dir(spark: SparkSession, kind: str) -> str:
     """A new folder below spark.checkpoint.dir, the storage that every executor can reach.
 
@@ -40,9 +45,8 @@ def shared_dir(spark: SparkSession, kind: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="posterwall-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, f"{kind}-{uuid.uuid4().hex}")
+        root = _local_root()
+    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, kind: str) -> DataFrame:
