@@ -1,6 +1,9 @@
 """Queries of the operators over the driver's tables, with production parameters."""
 
-from posterwall.llm import compression_rules, source_mix
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from posterwall.llm import byte_bpe, compression_rules, source_mix, warc_bundles
 from posterwall.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -11,6 +14,24 @@ def op1(spark, sf_dir):
     return compression_rules.measure(table(spark, sf_dir, "documents"))
 
 
+@query("op4_byte_bpe")
+def op4(spark, sf_dir):
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op5_warc_bundles")
+def op5(spark, sf_dir):
+    _, records = warc_bundles.archive(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op7_source_mix")
 def op7(spark, sf_dir):
     return source_mix.mix(table(spark, sf_dir, "documents"))
