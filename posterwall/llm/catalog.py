@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from posterwall.llm import byte_bpe, compression_rules, source_mix, warc_bundles
+from posterwall.llm import byte_bpe, compression_rules, context_tree, source_mix, warc_bundles
 from posterwall.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -35,3 +35,8 @@ def op5(spark, sf_dir):
 @query("op7_source_mix")
 def op7(spark, sf_dir):
     return source_mix.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op9_context_tree")
+def op9(spark, sf_dir):
+    return context_tree.score_documents(table(spark, sf_dir, "documents"))
