@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from posterwall.llm import byte_bpe, compression_rules, context_tree, source_mix, warc_bundles
+from posterwall.llm import byte_bpe, compression_rules, context_tree, rule_ensemble, source_mix, warc_bundles
 from posterwall.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -40,3 +40,9 @@ def op7(spark, sf_dir):
 @query("op9_context_tree")
 def op9(spark, sf_dir):
     return context_tree.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op10_rule_ensemble")
+def op10(spark, sf_dir):
+    scored = rule_ensemble.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
