@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from posterwall.llm import byte_bpe, compression_rules, context_tree, rule_ensemble, source_mix, warc_bundles
+from posterwall.llm import byte_bpe, compression_rules, context_tree, minhash_groups, rule_ensemble, source_mix, warc_bundles
 from posterwall.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -14,6 +14,11 @@ def op1(spark, sf_dir):
     return compression_rules.measure(table(spark, sf_dir, "documents"))
 
 
+@query("op2_minhash_groups")
+def op2(spark, sf_dir):
+    return minhash_groups.components(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 @query("op4_byte_bpe")
 def op4(spark, sf_dir):
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
