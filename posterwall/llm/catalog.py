@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from posterwall.llm import byte_bpe, compression_rules, context_tree, minhash_groups, rule_ensemble, source_mix, warc_bundles
+from posterwall.llm import byte_bpe, chunk_store, compression_rules, context_tree, minhash_groups, rule_ensemble, source_mix, warc_bundles
 from posterwall.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -19,6 +19,15 @@ def op2(spark, sf_dir):
     return minhash_groups.components(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+@query("op3_chunk_store")
+def op3(spark, sf_dir):
+    lists, _, read = chunk_store.store_media(table(spark, sf_dir, "documents"))
+    rows = lists.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+    return rows.join(read.hint("merge"), "payload_sha256").select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+    )
+
+
 @query("op4_byte_bpe")
 def op4(spark, sf_dir):
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
