@@ -230,12 +230,16 @@ def with_statistics(docs: DataFrame, name: str) -> DataFrame:
 def learn(measured: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, fold: int = 0, of: int = 5) -> Model:
     """Fit on measured(doc_id, s) joined with labels, outside the held-out fold.
 
-    At most max_rows labelled rows are used: those of the lowest hash of the id.
+    About max_rows labelled documents are used, all if there are no more: those whose hash of the
+    id is below a threshold. So what reaches the driver does not grow with the labels.
     """
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     marked = marked.where(~held_out("doc_id", fold, of))
-    sample = measured.join(marked, "doc_id").select("s.*", "quality", F.xxhash64("doc_id").alias("_h"))
-    rows = sample.orderBy("_h", *STATISTICS).limit(max_rows).toPandas()
+    share = max_rows / max(marked.count(), 1)
+    if share < 1:
+        marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = measured.join(marked, "doc_id").select("s.*", "quality")
+    rows = sample.toPandas().sort_values(list(STATISTICS))
     return fit(rows[list(STATISTICS)].to_numpy(float), (rows["quality"].to_numpy(float) > 0).astype(float))
 
 
