@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from posterwall.llm import byte_bpe, chunk_store, compression_rules, context_tree, minhash_groups, rule_ensemble, source_mix, warc_bundles
+from posterwall.llm import byte_bpe, byte_gru, chunk_store, compression_rules, context_tree, minhash_groups, rule_ensemble, source_mix, warc_bundles
 from posterwall.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -51,6 +51,11 @@ def op7(spark, sf_dir):
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
+@query("op8_byte_gru")
+def op8(spark, sf_dir):
+    return byte_gru.identify_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op9_context_tree")
 def op9(spark, sf_dir):
     return context_tree.score_documents(table(spark, sf_dir, "documents"))

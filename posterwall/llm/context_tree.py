@@ -186,9 +186,10 @@ def _head(rows: DataFrame, value: str, weight: str, most: int) -> tuple[np.ndarr
         if held > most:
             break
         least = row["w"]
-    kept = rows.where(F.col(weight) >= least).select("key", value).toPandas()
-    kept = kept.sort_values("key")
-    return kept["key"].to_numpy(np.int64), kept[value].to_numpy(float), least
+    kept = rows.where(F.col(weight) >= least).select("key", value).toArrow()
+    keys, values = kept["key"].to_numpy().astype(np.int64), kept[value].to_numpy().astype(float)
+    order = np.argsort(keys)
+    return keys[order], values[order], least
 
 
 def _found(keys: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
