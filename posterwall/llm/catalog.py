@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from posterwall.llm import byte_bpe, byte_gru, chunk_store, compression_rules, context_tree, minhash_groups, rule_ensemble, source_mix, warc_bundles
+from posterwall.llm import byte_bpe, byte_gru, chunk_store, compression_rules, context_tree, license_scan, minhash_groups, rule_ensemble, source_mix, warc_bundles
 from posterwall.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -46,6 +46,11 @@ def op5(spark, sf_dir):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op6_license_scan", license_scan.oracle())
+def op6(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op7_source_mix")
 def op7(spark, sf_dir):
     return source_mix.mix(table(spark, sf_dir, "documents"))

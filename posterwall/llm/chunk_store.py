@@ -2,11 +2,12 @@
 
 A payload is cut where a rolling gear hash of the last 32 bytes has zeros on top, so equal stretches
 of different payloads give equal chunks wherever they stand. The chunk list of a payload, digests
-and sizes in order, is its recipe. The store holds each distinct chunk once, packed: a join with
-the owners of the digests (first id and position) drops the other copies before anything is
-written. Reading joins the recipes of the distinct payloads with the store, puts the chunks of a
-payload in order, and streams through them: digests of chunks and payload are verified and
-features computed; of a payload its packed chunks are held, nothing of its neighbours.
+and sizes in order, is its recipe. The store holds each distinct chunk once, packed. It is a table
+of packs: what a payload brings that no other brings. Joins of the digests tell which payload
+brings a chunk (the smallest digest and position) and which row brings a payload (the smallest id);
+no chunk moves for that. Reading joins the recipes with the chunks of other packs where a payload
+needs them, puts the chunks in order, verifies the digests of chunks and payload, and computes
+features; of a payload its packed chunks are held, nothing of its neighbours.
 
 The stored form of a payload is its manifest (the serialised recipe) followed by its packed chunks.
 Null text counts as empty; payloads are never empty, as they are padded to a positive multiple of
@@ -23,10 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from posterwall.llm.store import written
 from posterwall.llm.textscan import mix, slices, text_bytes
+from posterwall.session import broadcast_if_small
 
 UNIT = 576
 PAD = 255
@@ -111,81 +113,117 @@ def recipes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def packed_chunks(docs: DataFrame) -> DataFrame:
-    """owner, pos, digest, packed: every chunk of every row, as it would be stored."""
+_PACKED = pa.list_(pa.struct([("pos", pa.int32()), ("digest", pa.binary()), ("size", pa.int64()), ("packed", pa.binary())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=LEVEL)
-        for batch in batches:
-            texts, owners = text_bytes(batch.column(1)), batch.column(0).to_pylist()
-            for a, b in slices(texts):
-                payloads = list(map(pad, texts[a:b]))
-                rows = [
-                    (owner, pos, p[s:e])
-                    for owner, p, ends in zip(owners[a:b], payloads, cuts(payloads))
-                    for pos, (s, e) in enumerate(zip([0, *ends], ends))
-                ]
-                columns = [
-                    pa.array([r[0] for r in rows], pa.string()),
-                    pa.array([r[1] for r in rows], pa.int32()),
-                    pa.array([hashlib.sha256(r[2]).digest() for r in rows], pa.binary()),
-                    pa.array([packer.compress(r[2]) for r in rows], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["owner", "pos", "digest", "packed"])
 
-    keyed = docs.select(_owner(), "text")
-    return keyed.mapInArrow(run, "owner string, pos int, digest binary, packed binary")
+def _payload_sha256() -> Column:
+    """Digest of the payload of text, in the JVM."""
+    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    size = F.octet_length(data)
+    missing = F.when(size == 0, UNIT).otherwise(F.pmod(-size, F.lit(UNIT)))
+    return F.sha2(F.concat(data, F.unhex(F.repeat(F.lit("FF"), missing))), 256)
 
 
-def _owner():
-    return F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("owner")
+def copies(lists: DataFrame) -> DataFrame:
+    """doc_id, payload_sha256, skip, known: what the store need not get from a row of the recipes.
+
+    skip: another row (of the smallest id) brings the payload. known: positions of chunks that another
+    payload, or an earlier position, brings. Rows that bring all of theirs are left out.
+    """
+    rows = lists.select("doc_id", "payload_sha256").distinct()
+    bringer = rows.groupBy("payload_sha256").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    skipped = rows.join(bringer.hint("merge"), "payload_sha256").where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    skipped = skipped.select("doc_id", "payload_sha256", F.lit(True).alias("skip"), F.array().cast("array<int>").alias("known"))
+    payloads = lists.select("payload_sha256", "chunks").dropDuplicates(["payload_sha256"])
+    named = payloads.select("payload_sha256", F.posexplode("chunks").alias("pos", "c")).select("payload_sha256", "pos", "c.digest")
+    owner = named.groupBy("digest").agg(F.min(F.struct("payload_sha256", "pos")).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    known = named.join(owner.hint("merge"), "digest").where(F.struct("payload_sha256", "pos") != F.col("owner"))
+    known = known.groupBy("payload_sha256").agg(F.collect_set("pos").alias("known"))
+    first = rows.groupBy("payload_sha256").agg(F.min("doc_id").alias("doc_id"))
+    partly = first.join(known.hint("merge"), "payload_sha256").select("doc_id", "payload_sha256", F.lit(False).alias("skip"), "known")
+    return written(skipped.unionAll(partly), "media-copies")
 
 
 def write_store(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """digest, packed of each distinct chunk of docs, once; lists are the recipes of docs.
+    """payload_sha256, n, chunks(pos, digest, size, packed): each distinct chunk of docs, once.
 
-    Owner and position make the keys of the join distinct, so a chunk that very many payloads
-    share meets in no one task. Rows that repeat an id with its text own a chunk together and are
-    told apart last.
+    lists are the recipes of docs. A row of the store is a pack: what its payload brings. The join
+    with the copies goes before the cutting, so nothing is packed twice; chunks are not shuffled.
     """
-    named = lists.select(_owner(), F.posexplode("chunks").alias("pos", "c")).select("owner", "pos", "c.digest")
-    owners = named.groupBy("digest").agg(F.min(F.struct("owner", "pos")).alias("first")).select("digest", "first.*")
-    owned = packed_chunks(docs).join(owners.hint("merge"), ["owner", "pos", "digest"], "left_semi")
-    same = Window.partitionBy("owner", "pos", "digest").orderBy("pos")
-    once = owned.withColumn("copy", F.row_number().over(same)).where("copy = 1")
-    return written(once.select("digest", "packed"), "media-store")
+    notes = copies(lists).select(F.col("doc_id").alias("_id"), F.col("payload_sha256").alias("_sha"), "skip", "known")
+    keyed = docs.select("doc_id", "text", _payload_sha256().alias("sha"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha"))
+    noted = keyed.join(broadcast_if_small(notes, F.length("_sha")), same, "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            texts, keys, knowns = text_bytes(batch.column(0)), batch.column(1), batch.column(2).to_pylist()
+            for a, b in slices(texts):
+                payloads, packs, sizes = list(map(pad, texts[a:b])), [], []
+                for p, ends, known in zip(payloads, cuts(payloads), knowns[a:b]):
+                    spans = enumerate(zip([0, *ends], ends))
+                    own = [(pos, p[s:e]) for pos, (s, e) in spans if not known or pos not in known]
+                    sizes.append(len(ends))
+                    packs.append([
+                        {"pos": pos, "digest": hashlib.sha256(c).digest(), "size": len(c), "packed": packer.compress(c)}
+                        for pos, c in own
+                    ])
+                columns = [keys.slice(a, b - a), pa.array(sizes, pa.int32()), pa.array(packs, _PACKED)]
+                yield pa.RecordBatch.from_arrays(columns, names=["payload_sha256", "n", "chunks"])
+
+    brought = noted.where(~F.coalesce("skip", F.lit(False))).select("text", "sha", "known")
+    packs = brought.mapInArrow(run, f"payload_sha256 string, n int, chunks {_PACK}")
+    if not lists.groupBy("doc_id", "payload_sha256").count().where("count > 1").isEmpty():
+        packs = packs.dropDuplicates(["payload_sha256"])  # rows that repeat an id with its text
+    return written(packs.where(F.size("chunks") > 0), "media-store")
 
 
 def read_media(lists: DataFrame, store: DataFrame) -> DataFrame:
     """Read the distinct payloads of the recipes back from the store, verified.
 
-    payload_sha256, tail_crc32, media_bytes, media_sha256, feature of each.
+    payload_sha256, tail_crc32, media_bytes, media_sha256, feature of each. Payloads whose pack holds
+    all their chunks are read where the pack lies; the recipes of the others are joined with the
+    chunks that they name.
     """
-    distinct = lists.select("payload_sha256", "chunks").dropDuplicates(["payload_sha256"])
-    refs = distinct.select("payload_sha256", F.size("chunks").alias("n"), F.posexplode("chunks").alias("pos", "c")).select(
-        "payload_sha256", "n", "pos", "c.digest", "c.size"
+    whole = store.where(F.size("chunks") == F.col("n")).select("payload_sha256", "n", F.explode("chunks").alias("c"))
+    apart = lists.select("payload_sha256", "chunks").join(
+        store.where(F.size("chunks") == F.col("n")).select("payload_sha256").hint("merge"), "payload_sha256", "left_anti"
+    )
+    refs = apart.dropDuplicates(["payload_sha256"]).select(
+        "payload_sha256", F.size("chunks").alias("n"), F.posexplode("chunks").alias("pos", "c")
     )
-    pieces = refs.join(store.hint("merge"), "digest", "left")
+    refs = written(refs.select("payload_sha256", "n", "pos", "c.digest", "c.size"), "media-refs")
+    held = store.select(F.explode("chunks").alias("c")).select("c.digest", "c.packed")
+    held = held.join(broadcast_if_small(refs.select("digest").distinct()), "digest", "left_semi")
+    pieces = refs.join(held.hint("merge"), "digest", "left").select("payload_sha256", "n", "pos", "digest", "size", "packed")
     ordered = pieces.repartition("payload_sha256").sortWithinPartitions("payload_sha256", "pos")
-    names = ["payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, media = zstandard.ZstdDecompressor(), None
-        for batch in batches:
-            done = []
-            for key, n, digest, size, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                if media is None or media.key != key:
-                    media = _Media(key, n)
-                media.add(digest, size, packed, reader)
-                if len(media.chunks) == n:
-                    done.append(media.close())
-            yield pa.RecordBatch.from_arrays([pa.array([d[c] for d in done], t) for c, t in zip(names, _READ)], names=names)
-
+    columns = ["payload_sha256", "n", "digest", "size", "packed"]
     schema = "payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return ordered.select("payload_sha256", "n", "digest", "size", "packed").mapInArrow(run, schema)
-
-
-_READ = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    own = whole.select("payload_sha256", "n", "c.digest", "c.size", "c.packed").mapInArrow(_assembled, schema)
+    return own.unionAll(ordered.select(*columns).mapInArrow(_assembled, schema))
+
+
+_PACK = "array<struct<pos: int, digest: binary, size: bigint, packed: binary>>"
+_READ = {
+    "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(),
+    "feature": pa.string(),
+}
+
+
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per payload, whose chunks follow each other in order."""
+    reader, media = zstandard.ZstdDecompressor(), None
+    for batch in batches:
+        done = []
+        for key, n, digest, size, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            if media is None:
+                media = _Media(key, n)
+            media.add(digest, size, packed, reader)
+            if len(media.chunks) == n:
+                done.append(media.close())
+                media = None
+        yield pa.RecordBatch.from_arrays([pa.array([d[c] for d in done], t) for c, t in _READ.items()], names=list(_READ))
 
 
 class _Media:
