@@ -18,7 +18,7 @@ from itertools import chain
 import pyarrow as pa
 import regex
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from posterwall.llm.textscan import slices
 
@@ -145,3 +145,11 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc
 
     schema = f"`{id_column}` {kind}, ids array<int>, decoded binary"
     return docs.select(id_column, "text").mapInArrow(run, schema)
+
+
+def encoded_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids, text_sha256 of every row of docs(doc_id, text); the digest is of the decoded ids."""
+    encoded = encode(docs, vocabulary, pattern)
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("text_sha256")
+    )

@@ -5,7 +5,7 @@ cut into blocks of BLOCK shingles; a window is two neighbouring blocks, so every
 shingles lies whole in some window. For each of BANDS random targets a window keeps the hash
 nearest to the target (of least exclusive or): a MinHash value, as all shingles are equally likely to
 be the nearest. Bands are of one row: a window that holds a run of R shingles shares a given band with
-it with probability R / (2 * BLOCK), and all bands miss with (1 - R / (2 * BLOCK)) ** BANDS, 0.001
+it with probability R / (2 * BLOCK), and all bands miss with (1 - R / (2 * BLOCK)) ** BANDS, 0.000003
 for the shortest template here (R = 4). Templates are indexed by runs of at most BLOCK + 1 shingles.
 
 Retrieved pairs of text and template are verified exactly: the text's regions of twice the template's
@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from posterwall.llm.store import written
 from posterwall.session import broadcast_if_small
 
-BLOCK = 8
-BANDS = 24
+BLOCK = 6
+BANDS = 32
 LEAST_CONTAINMENT = 0.8
 
 # License notices as they stand in texts, by SPDX identifier.
@@ -70,9 +70,9 @@ def shingles(text: Column) -> tuple[Column, Column]:
 
 
 def with_shingles(rows: DataFrame, *keep: str) -> DataFrame:
-    """The columns `keep` and h, the shingle hashes of text; texts without any are left out."""
+    """The columns `keep` and h, the shingle hashes of text."""
     words, pairs = shingles(F.col("text"))
-    return rows.select(*keep, words.alias("words")).where(F.size("words") > 1).select(*keep, pairs.alias("h"))
+    return rows.select(*keep, words.alias("words")).select(*keep, pairs.alias("h"))
 
 
 def _nearest(hashes: Column) -> Column:
@@ -85,8 +85,11 @@ def _nearest(hashes: Column) -> Column:
 
 
 def window_bands(rows: DataFrame, key: str) -> DataFrame:
-    """key, band, value of every window of rows(key, h)."""
-    last = F.floor((F.size("h") - 1) / BLOCK).cast("int")
+    """key, band, value of every window of rows(key, h); values are null without shingles.
+
+    Outer explodes, as the others add a filter on their array, for which it would be computed twice.
+    """
+    last = F.greatest(F.floor((F.size("h") - 1) / BLOCK), F.lit(0)).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), last), lambda k: _nearest(F.slice("h", k * BLOCK + 1, BLOCK)))
     starts = F.sequence(F.lit(1), F.greatest(F.size("blocks") - 1, F.lit(1)))
     windows = F.transform(
@@ -98,7 +101,7 @@ def window_bands(rows: DataFrame, key: str) -> DataFrame:
         ),
     )
     each = rows.select(key, blocks.alias("blocks")).select(key, windows.alias("windows"))
-    return each.select(key, F.explode("windows").alias("w")).select(key, F.posexplode("w").alias("band", "value"))
+    return each.select(key, F.explode_outer("windows").alias("w")).select(key, F.posexplode_outer("w").alias("band", "value"))
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
@@ -112,15 +115,15 @@ def template_bands(templates: DataFrame) -> DataFrame:
     run = BLOCK + 1
     starts = F.sequence(F.lit(1), F.greatest(F.size("h") - run + 1, F.lit(1)))
     runs = F.transform(starts, lambda k: _nearest(F.slice("h", k, run)))
-    each = templates.select("template", F.explode(runs).alias("w"))
-    return each.select("template", F.posexplode("w").alias("band", "value")).distinct()
+    each = templates.select("template", F.explode_outer(runs).alias("w"))
+    return each.select("template", F.posexplode_outer("w").alias("band", "value")).distinct()
 
 
 def verify(texts: DataFrame, pairs: DataFrame, templates: DataFrame, least: float) -> DataFrame:
     """doc_id, license, template, n_shingles, matched, containment of pairs(doc_id, template) by exact shingles."""
     parts = templates.select("template", "license", F.explode(F.array_distinct("h")).alias("s"), F.size("h").alias("span"),
                              F.size(F.array_distinct("h")).alias("n_shingles"))
-    places = with_shingles(texts, "doc_id").select("doc_id", F.posexplode("h").alias("pos", "s"))
+    places = with_shingles(texts, "doc_id").select("doc_id", F.posexplode_outer("h").alias("pos", "s"))
     met = places.join(broadcast_if_small(parts), "s")
     regions = met.withColumn("half", F.floor(F.col("pos") / F.col("span"))).select(
         "doc_id", "template", "license", "n_shingles", "s", F.explode(F.array(F.col("half"), F.col("half") - 1)).alias("region")
@@ -151,7 +154,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, least: float = LEA
 def oracle(templates=TEMPLATES, least: float = LEAST_CONTAINMENT) -> str:
     """The same rows by exact search of all texts for all templates, in DuckDB's SQL."""
     values = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(templates))
-    words = "list_filter(string_split(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')), ' '), x -> x <> '')"
+    words = "list_filter(string_split(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
     return f"""
 WITH t(template, license, text) AS (VALUES {values}),
 tw AS (SELECT template, license, {words} AS w FROM t),
@@ -159,8 +162,8 @@ ts AS (SELECT template, license, len(w) - 1 AS span,
               unnest(list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS s FROM tw WHERE len(w) > 1),
 parts AS (SELECT *, count(*) OVER (PARTITION BY template) AS n_shingles FROM ts),
 dw AS (SELECT doc_id, {words} AS w FROM documents),
-dp AS (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM dw WHERE len(w) > 1),
-places AS (SELECT doc_id, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS s FROM dp),
+dp AS (SELECT doc_id, unnest(range(len(w) - 1)) AS pos, unnest(list_zip(w[:-2], w[2:])) AS p FROM dw WHERE len(w) > 1),
+places AS (SELECT doc_id, pos, p[1] || ' ' || p[2] AS s FROM dp),
 met AS (SELECT doc_id, template, license, n_shingles, s, pos // span AS half FROM places JOIN parts USING (s)),
 regions AS (SELECT * EXCLUDE half, unnest([half, half - 1]) AS region FROM met),
 counted AS (SELECT doc_id, template, license, n_shingles, region, count(DISTINCT s) AS matched FROM regions GROUP BY ALL)

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from posterwall.llm.store import written
+from posterwall.session import broadcast_if_small
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3.0
@@ -184,3 +185,16 @@ def mix(
     return joined.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * copies_of).alias("taken"), copies_of.alias("copies")
     )
+
+
+def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
+    """Each row of docs as often as the mix takes it, with all its columns.
+
+    Copies are joined back by id and source; documents of no copies are left out.
+    """
+    taken = mix(docs, **parameters).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
+    taken = written(taken.distinct(), "mix-taken")
+    both = docs.join(broadcast_if_small(taken), F.col("doc_id").eqNullSafe(F.col("_id")))
+    names = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    times = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
+    return both.select(*names, times.alias("_time")).select(*names)
