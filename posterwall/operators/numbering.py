@@ -19,17 +19,18 @@ def number_rows(
     over many slices, and each slice is numbered on its own on top of the rows before it.
     """
     groups, order = list(groups), list(order)
-    largest = df.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
-    if largest <= max_window_rows:
+    largest, total = df.groupBy(*groups).count().agg(F.max("count"), F.sum("count")).first()
+    if (largest or 0) <= max_window_rows:
         position = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
         return df.withColumn(out, position.cast("bigint"))
-    return _number_slices(df, groups, order, out)
+    at_once = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _number_slices(df, groups, order, out, max(at_once, -(-total // max_window_rows)))
 
 
-def _number_slices(df: DataFrame, groups: list, order: list, out: str) -> DataFrame:
+def _number_slices(df: DataFrame, groups: list, order: list, out: str, slices: int) -> DataFrame:
     # Written once: the slice bounds are sampled and must be the same for all that follows.
     sliced = materialize(
-        df.repartitionByRange(*groups, *order).withColumn("_slice", F.spark_partition_id()),
+        df.repartitionByRange(slices, *groups, *order).withColumn("_slice", F.spark_partition_id()),
         "slices",
     )
     sizes = sliced.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
@@ -38,17 +39,21 @@ def _number_slices(df: DataFrame, groups: list, order: list, out: str) -> DataFr
     )
     # Only the first group of a slice can have rows in earlier slices, so this table has at most
     # one row per slice, however many groups there are. That bound makes the broadcast safe.
+    # A NULL group is a group like others, so its rows are matched null-safe.
     before = (
         sizes.withColumn("_before", F.sum("_rows").over(earlier))
         .where(F.col("_before") > 0)
-        .select(*groups, "_slice", "_before")
+        .select(*[F.col(g).alias(f"_of_{i}") for i, g in enumerate(groups)], F.col("_slice").alias("_in"), "_before")
     )
+    same = F.col("_slice") == F.col("_in")
+    for i, group in enumerate(groups):
+        same = same & F.col(group).eqNullSafe(F.col(f"_of_{i}"))
     in_slice = Window.partitionBy(*groups, "_slice").orderBy(*order)
     return (
         sliced.withColumn("_pos", F.row_number().over(in_slice))
-        .join(F.broadcast(before), [*groups, "_slice"], "left")
+        .join(F.broadcast(before), same, "left")
         .withColumn(out, F.coalesce(F.col("_before"), F.lit(0)) + F.col("_pos"))
-        .drop("_slice", "_pos", "_before")
+        .drop("_slice", "_pos", "_before", "_in", *[f"_of_{i}" for i in range(len(groups))])
     )
 
 

@@ -67,6 +67,18 @@ def page_summary(staged: DataFrame, runs: DataFrame, page=None, per_page=None) -
     )
 
 
+def answered(summary: DataFrame, page=None, per_page=None) -> DataFrame:
+    """The summary, or one row of zeros when there is no run to answer with."""
+    page, per_page = page_bounds(page, per_page)
+    spark = summary.sparkSession
+    zeros = {"total_events": 0, "total_pages": 0, "page": page, "per_page": per_page, "is_last_page": True}
+    row = spark.range(1).select(
+        *[F.lit(zeros.get(f.name)).cast(f.dataType).alias(f.name) for f in summary.schema.fields]
+    )
+    found = summary.limit(1).select(F.lit(1).alias("_found"))
+    return summary.unionByName(row.join(found, F.lit(True), "left_anti"))
+
+
 def page_of_events(staged: DataFrame, runs: DataFrame, page=None, per_page=None) -> DataFrame:
     """One page of the events of each given run.
 

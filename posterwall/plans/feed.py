@@ -9,6 +9,8 @@ from posterwall.functions.text import falsy_to_null, first_filled, join_filled,
 from posterwall.operators.citymatch import resolve_city
 from posterwall.operators.filters import missing_ids_reason, split_rejects
 from posterwall.plans.common import RunParameters, to_events
+from posterwall.session import materialize
+from posterwall.sources.feed import order_keys
 
 
 def feed_events(rows: DataFrame, cities: DataFrame, params: RunParameters, keys=("file",)) -> tuple[DataFrame, DataFrame]:
@@ -18,16 +20,17 @@ def feed_events(rows: DataFrame, cities: DataFrame, params: RunParameters, keys=
     its event only.
     """
     target = first_filled("eventCity", F.lit(params.city_name))
-    matched = resolve_city(rows, cities, target)
+    # Written once: matching reads the rows twice, and the JSON behind them is parsed for each.
+    matched = resolve_city(materialize(rows, "feed"), cities, target)
     point = pick_coordinates("venueLatitude", "venueLongitude", coordinates_from_struct("city.coordinates"))
     event = matched.withColumns(
         {
-            "city_id": F.coalesce(F.lit(params.city_id), F.col("city._id")),
-            "country_id": F.coalesce(F.lit(params.country_id), F.col("city.country_id")),
+            "city_id": first_filled(F.lit(params.city_id), F.col("city._id")),
+            "country_id": first_filled(F.lit(params.country_id), F.col("city.country_id")),
             "date_start": parse_iso("eventDateIso8601"),
             "name": first_filled("eventName", "esName"),
             "point": point,
-            "ord": F.struct(*keys, "series_pos", "event_pos"),
+            "ord": F.struct(*order_keys(rows, keys), "series_pos", "event_pos"),
         }
     )
     bad_date = falsy_to_null("eventDateIso8601").isNotNull() & F.col("date_start").isNull()

@@ -14,6 +14,7 @@ from posterwall.operators.grouping import group_slots, merge_duplicates
 from posterwall.plans.common import RunParameters, to_events
 from posterwall.session import materialize
 from posterwall.sources.html import extract_schedule_slots, extract_tour_cards
+from posterwall.sources.tables import pages_of
 
 SLOT_KEEP = ("city_id", "country_id", "coordinates", "description", "photo_url", "tour_url")
 
@@ -26,14 +27,15 @@ def schedule_cards(cities: DataFrame, city_pages: DataFrame) -> DataFrame:
         F.col("name").alias("page_city_name"),
         F.col("city_ord").alias("page_city_ord"),
     )
-    cards = extract_tour_cards(city_pages).join(wanted, "url")
+    cards = extract_tour_cards(pages_of(city_pages, wanted)).join(wanted, "url")
     cards = cards.withColumn("tour_url", absolutize_link("link")).where(F.col("tour_url") != "")
     return cards.withColumn("photo_url", absolutize_photo("photo")).withColumnRenamed("pos", "card_pos")
 
 
 def schedule_slots(cards: DataFrame, tour_pages: DataFrame) -> DataFrame:
     """Open slots of each card's tour page. A page is parsed once however many cards link to it."""
-    slots = extract_schedule_slots(tour_pages).where(~is_sold_out("availability", "action_text"))
+    linked = cards.select(F.col("tour_url").alias("url"))
+    slots = extract_schedule_slots(pages_of(tour_pages, linked)).where(~is_sold_out("availability", "action_text"))
     slots = slots.select(
         F.col("url").alias("tour_url"),
         F.col("pos").alias("slot_pos"),
@@ -64,8 +66,8 @@ def resolve_slots(slots: DataFrame, dimension: DataFrame, params: RunParameters)
     """Slots with ids and coordinates of their city, and a reason where an id is missing."""
     matched = resolve_city(slots, dimension, F.col("target_city")).withColumns(
         {
-            "city_id": F.coalesce(F.lit(params.city_id), F.col("city._id")),
-            "country_id": F.coalesce(F.lit(params.country_id), F.col("city.country_id")),
+            "city_id": first_filled(F.lit(params.city_id), F.col("city._id")),
+            "country_id": first_filled(F.lit(params.country_id), F.col("city.country_id")),
             "coordinates": F.col("city.coordinates"),
         }
     )
@@ -99,9 +101,13 @@ def schedule_events(
     cities: DataFrame, city_pages: DataFrame, tour_pages: DataFrame, params: RunParameters
 ) -> tuple[DataFrame, DataFrame]:
     """(events, rejects) of a run over the chosen cities. Slots match against those cities only."""
-    chosen = choose_cities(cities, city_name=params.city_name, first=params.max_cities)
+    # The limit is for runs over all cities; a named city is never cut off by it.
+    limit = None if params.city_name else params.max_cities
+    chosen = choose_cities(cities, city_name=params.city_name, first=limit)
     cards = schedule_cards(chosen, city_pages)
     # Written once: matching reads the slots twice, and parsing pages is the costly part.
+    # So are the cards, which tell the tour pages that are worth parsing.
+    cards = materialize(cards, "cards")
     slots = materialize(schedule_slots(cards, tour_pages), "slots")
     ok, rejects = split_rejects(resolve_slots(slots, chosen, params))
     return slots_to_events(ok, params), rejects.select(

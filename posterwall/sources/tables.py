@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from posterwall.schemas import CITIES, COUNTRIES
+from posterwall.session import broadcast_if_small
 
 
 def read_cities(spark: SparkSession, path: str) -> DataFrame:
@@ -20,6 +21,21 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
 
+def pages_of(pages: DataFrame, urls: DataFrame) -> DataFrame:
+    """The pages of the given urls, one per url, before anything is parsed.
+
+    urls has a column url. Of several pages of a url the one of the highest digest is taken, so
+    that reruns agree; only those pages are shuffled when the urls are few.
+    """
+    wanted = broadcast_if_small(urls.select("url").where("url is not null").distinct(), F.length("url"))
+    linked = pages.select("url", "html").join(wanted, "url", "left_semi")
+    counts = pages.select("url").groupBy("url").count().where("count > 1").select("url")
+    repeated = broadcast_if_small(counts.join(wanted, "url", "left_semi"), F.length("url"))
+    last = F.max_by("html", F.struct(F.xxhash64("html"), "html")).alias("html")
+    once = linked.join(repeated, "url", "left_semi").groupBy("url").agg(last)
+    return linked.join(repeated, "url", "left_anti").unionByName(once)
+
+
 def lookup_pages(links: DataFrame, extracted: DataFrame, link: str = "href") -> DataFrame:
     """Left join of links to what was extracted from their pages; `found` tells misses apart.
 
