@@ -91,7 +91,7 @@ def statistics(texts: list[bytes | None]) -> np.ndarray:
         share(_DIGIT),
         share(~_LETTER),
         np.bincount(line_doc[dup_line], minlength=n) / lines,
-        1 - np.bincount(scan.doc[dup_word], minlength=n) / of_words,
+        (words > 0) - np.bincount(scan.doc[dup_word], minlength=n) / of_words,
         np.bincount(scan.doc[1:][same], minlength=n) / of_words,
         np.bincount(doc[inside][dup_window], minlength=n) / of_words,
         words / lines,
