@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from posterwall.llm.folds import held_out
 from posterwall.llm.textscan import slices
+from posterwall.session import broadcast_if_small
 
 # Bounds of the sample that is learned from, per language, and of what is taken of each text there.
 MAX_DOCUMENTS = 400
@@ -199,6 +200,8 @@ def sample(docs: DataFrame, most: int = MAX_DOCUMENTS) -> DataFrame:
     rows = docs.where("lang is not null and text is not null")
     counts = rows.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_count"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    # Languages are few, so texts stay where they are.
+    counts = broadcast_if_small(counts, F.length("_lang"))
     drawn = rows.join(counts, F.col("lang") == F.col("_lang")).where(draw < most / F.col("_count")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
