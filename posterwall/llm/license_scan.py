@@ -75,33 +75,25 @@ def with_shingles(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, words.alias("words")).select(*keep, pairs.alias("h"))
 
 
-def _nearest(hashes: Column) -> Column:
-    """Per band, the least distance of the hashes to the band's target."""
+def _banded(runs: DataFrame, key: str, width: int) -> DataFrame:
+    """key, band, value of every row of runs(key, w), w being at most `width` hashes.
 
-    def band(target: int) -> Column:
-        return F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(target))))
-
-    return F.array(*map(band, _targets(BANDS)))
+    Targets become rows before the distances are taken, so one short expression serves all bands.
+    """
+    targets = F.array(*map(F.lit, _targets(BANDS)))
+    each = runs.select(key, "w", F.posexplode(targets).alias("band", "target"))
+    nearest = F.least(*(F.get("w", F.lit(i)).bitwiseXOR(F.col("target")) for i in range(width)))
+    return each.select(key, "band", nearest.alias("value"))
 
 
 def window_bands(rows: DataFrame, key: str) -> DataFrame:
     """key, band, value of every window of rows(key, h); values are null without shingles.
 
-    Outer explodes, as the others add a filter on their array, for which it would be computed twice.
+    The explode is outer, as the inner one adds a filter on its array, which would be computed twice.
     """
     last = F.greatest(F.floor((F.size("h") - 1) / BLOCK), F.lit(0)).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda k: _nearest(F.slice("h", k * BLOCK + 1, BLOCK)))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("blocks") - 1, F.lit(1)))
-    windows = F.transform(
-        starts,
-        lambda k: F.zip_with(
-            F.element_at("blocks", k),
-            F.element_at("blocks", F.least(k + 1, F.size("blocks"))),
-            lambda a, b: F.least(a, b),
-        ),
-    )
-    each = rows.select(key, blocks.alias("blocks")).select(key, windows.alias("windows"))
-    return each.select(key, F.explode_outer("windows").alias("w")).select(key, F.posexplode_outer("w").alias("band", "value"))
+    windows = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("h", k * BLOCK + 1, 2 * BLOCK))
+    return _banded(rows.select(key, F.explode_outer(windows).alias("w")), key, 2 * BLOCK)
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
@@ -114,9 +106,8 @@ def template_bands(templates: DataFrame) -> DataFrame:
     """template, band, value of every indexed run."""
     run = BLOCK + 1
     starts = F.sequence(F.lit(1), F.greatest(F.size("h") - run + 1, F.lit(1)))
-    runs = F.transform(starts, lambda k: _nearest(F.slice("h", k, run)))
-    each = templates.select("template", F.explode_outer(runs).alias("w"))
-    return each.select("template", F.posexplode_outer("w").alias("band", "value")).distinct()
+    runs = F.transform(starts, lambda k: F.slice("h", k, run))
+    return _banded(templates.select("template", F.explode_outer(runs).alias("w")), "template", run).distinct()
 
 
 def verify(texts: DataFrame, pairs: DataFrame, templates: DataFrame, least: float) -> DataFrame:
