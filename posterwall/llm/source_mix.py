@@ -153,10 +153,10 @@ def _gathered(left: DataFrame, most: int, block: int) -> DataFrame:
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, max_copies: float = MAX_COPIES, seed: int = 17
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies of every row of docs.
+    """doc_id, size, source_size, target, taken, copies, source of every row of docs.
 
     A document without words, or without text, takes nothing and takes no part in the duels. Rows
-    that repeat a doc_id are rounded as one and each gets its copies. A null doc_id is a document
+    that repeat a doc_id within a source are rounded as one and each gets its copies. A null doc_id is a document
     like others, as is a null source. An empty table gives no rows.
     """
     sized = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
@@ -183,7 +183,8 @@ def mix(
     number = (F.floor("_r") + F.coalesce("_copy", F.lit(0))).cast("long")
     copies_of = F.when(F.col("size") > 0, number).otherwise(F.lit(0).cast("long"))
     return joined.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * copies_of).alias("taken"), copies_of.alias("copies")
+        "doc_id", "size", "source_size", "target", (F.col("size") * copies_of).alias("taken"), copies_of.alias("copies"),
+        F.when(~F.col("_null"), F.col("_source")).alias("source"),
     )
 
 
@@ -192,9 +193,13 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
 
     Copies are joined back by id and source; documents of no copies are left out.
     """
-    taken = mix(docs, **parameters).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
-    taken = written(taken.distinct(), "mix-taken")
-    both = docs.join(broadcast_if_small(taken), F.col("doc_id").eqNullSafe(F.col("_id")))
+    taken = mix(docs, **parameters).where("copies > 0").select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("copies").alias("_copies")
+    )
+    # One row per document; of rows that repeat an id with and without words those without follow.
+    taken = written(taken.groupBy("_id", "_from").agg(F.max("_copies").alias("_copies")), "mix-taken")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_from"))
+    both = docs.join(broadcast_if_small(taken, F.length("_from")), same)
     names = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
     times = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
     return both.select(*names, times.alias("_time")).select(*names)
