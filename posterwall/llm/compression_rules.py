@@ -17,7 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from posterwall.llm.textscan import Scan, repeats, slices, text_bytes
+from posterwall.llm.textscan import Scan, repeats, text_slices
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -124,9 +124,8 @@ def measure(docs: DataFrame, bands: Bands = Bands(), id_column: str = "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            for a, b in slices(texts):
-                found = verdicts(texts[a:b], bands)
+            for a, b, texts in text_slices(batch.column(1)):
+                found = verdicts(texts, bands)
                 columns = [batch.column(0).slice(a, b - a), *(pa.array(found[c]) for c in _ORDER)]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_column, *_ORDER])
 
@@ -140,8 +139,7 @@ def keep_documents(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_bytes(batch.column(at))
-            for a, b in slices(texts):
-                yield batch.slice(a, b - a).filter(pa.array(verdicts(texts[a:b], bands)["kept"]))
+            for a, b, texts in text_slices(batch.column(at)):
+                yield batch.slice(a, b - a).filter(pa.array(verdicts(texts, bands)["kept"]))
 
     return docs.mapInArrow(run, docs.schema)

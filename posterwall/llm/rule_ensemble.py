@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from posterwall.llm.folds import held_out
 from posterwall.llm.store import free_name, written
-from posterwall.llm.textscan import Scan, repeats, slices, text_bytes
+from posterwall.llm.textscan import Scan, repeats, text_slices
 
 # Bounds of the sample that the model is fitted on, and of the model.
 MAX_ROWS = 20_000
@@ -216,9 +216,8 @@ def with_statistics(docs: DataFrame, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_bytes(batch.column(at))
-            for a, b in slices(texts):
-                x = statistics(texts[a:b])
+            for a, b, texts in text_slices(batch.column(at)):
+                x = statistics(texts)
                 struct = pa.StructArray.from_arrays([pa.array(x[:, k]) for k in range(x.shape[1])], fields=list(_TYPE))
                 rows = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*rows.columns, struct], names=[*rows.schema.names, name])

@@ -10,8 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -63,6 +64,17 @@ def slices(texts: list[bytes | None], limit: int = SLICE_BYTES) -> Iterator[tupl
         yield start, len(texts)
 
 
+def text_slices(column: pa.Array) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """Ranges of a text column as `slices` gives them, with their texts; no more is held as objects."""
+    sizes = pc.binary_length(column.cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False) + 1
+    start, ends = 0, np.cumsum(sizes)
+    while start < len(sizes):
+        before = ends[start] - sizes[start]
+        stop = max(int(np.searchsorted(ends, before + SLICE_BYTES, "right")), start + 1)
+        yield start, stop, text_bytes(column.slice(start, stop - start))
+        start = stop
+
+
 class Scan:
     """The words of a slice of texts. A null text has no words."""
 
