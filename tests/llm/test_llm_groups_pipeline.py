@@ -73,6 +73,27 @@ def test_components_equal_all_pairs(spark, width, percent):
     assert Counter(r.doc_id for r in kept.collect() if r.doc_id is not None) == want
 
 
+def composites(seed, passages, n):
+    """Documents of two frequent passages each; near copies share the pair, which no other document has."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    parts = [[word() for _ in range(60)] for _ in range(passages)]
+    pairs = rng.sample([(i, j) for i in range(passages) for j in range(i)], n)
+    texts = []
+    for i, j in pairs:
+        for _ in range(2):
+            texts.append([*parts[i], word(), *parts[j], *(word() for _ in range(rng.choice((1, 4, 6))))])
+    rng.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_near_copies_of_frequent_passages_in_rare_pairs(spark):
+    rows = composites(11, 24, 250)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, minhash_groups.components(docs, 5, 80).collect()), key=repr)
+    assert got == expected(rows, 5, 80) and sum(not r[3] for r in got) > 200
+
+
 def test_groups_of_edge_rows_and_none(edges, nothing):
     rows = [(r.doc_id, r.text) for r in edges.select("doc_id", "text").collect()]
     got = sorted(map(tuple, minhash_groups.components(edges, 3, 85).collect()), key=repr)
