@@ -73,6 +73,20 @@ def test_components_equal_all_pairs(spark, width, percent):
     assert Counter(r.doc_id for r in kept.collect() if r.doc_id is not None) == want
 
 
+def repeated_ids():
+    """Ids with several texts: each links the groups of its texts; one of them is empty."""
+    a, b, c = (" ".join(w * 3 for w in words.split()) for words in ("p q r s t u v", "k l m n o a b", "c d e f g h i"))
+    return [(5, a), (7, a), (9, a), (3, b), (5, b), (8, c), (7, c), (2, a + " z"), (11, "x y z w"), (4, b), (4, "")]
+
+
+def test_ids_with_several_texts_are_one_document(spark):
+    rows = repeated_ids()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, minhash_groups.components(docs, 5, 80).collect()), key=repr)
+    assert got == expected(rows, 5, 80)
+    assert sorted(r.doc_id for r in minhash_groups.keep_representatives(docs, 5, 80).collect()) == sorted({r[0] for r in got if r[3]})
+
+
 def composites(seed, passages, n):
     """Documents of two frequent passages each; near copies share the pair, which no other document has."""
     rng = random.Random(seed)
