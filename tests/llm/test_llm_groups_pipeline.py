@@ -1,5 +1,6 @@
 """Near-duplicate groups and the pipeline against brute force."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -73,6 +74,13 @@ def test_components_equal_all_pairs(spark, width, percent):
     assert Counter(r.doc_id for r in kept.collect() if r.doc_id is not None) == want
 
 
+@pytest.mark.parametrize("t", [0.8, 0.85])
+def test_estimate_drops_next_to_no_pair_at_the_limit(t):
+    k = minhash_groups.SKETCH
+    least = t - minhash_groups.MARGIN * (t * (1 - t) / k) ** 0.5
+    assert sum(math.comb(k, i) * t**i * (1 - t) ** (k - i) for i in range(k) if i < least * k) < 2e-9
+
+
 def repeated_ids():
     """Ids with several texts: each links the groups of its texts; one of them is empty."""
     a, b, c = (" ".join(w * 3 for w in words.split()) for words in ("p q r s t u v", "k l m n o a b", "c d e f g h i"))
