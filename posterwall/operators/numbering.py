@@ -7,6 +7,8 @@ from posterwall.session import materialize
 
 # Groups up to this many rows are numbered by one task each.
 MAX_WINDOW_ROWS = 1_000_000
+# A slice of a bigger group has about this many rows at most.
+SLICE_ROWS = 1_000_000
 
 
 def number_rows(
@@ -24,7 +26,7 @@ def number_rows(
         position = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
         return df.withColumn(out, position.cast("bigint"))
     at_once = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _number_slices(df, groups, order, out, max(at_once, -(-total // max_window_rows)))
+    return _number_slices(df, groups, order, out, max(at_once, -(-total // SLICE_ROWS)))
 
 
 def _number_slices(df: DataFrame, groups: list, order: list, out: str, slices: int) -> DataFrame:
