@@ -3,7 +3,10 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from posterwall.llm import byte_bpe, byte_gru, chunk_store, compression_rules, context_tree, license_scan, minhash_groups, rule_ensemble, source_mix, warc_bundles
+from posterwall.llm import (
+    byte_bpe, byte_gru, chunk_store, compression_rules, context_tree, filter_audit, license_scan, minhash_groups, radix_dedup,
+    rule_ensemble, source_mix, warc_bundles, whitening,
+)
 from posterwall.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -70,3 +73,18 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     scored = rule_ensemble.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op11_radix_dedup", radix_dedup.ORACLE)
+def op11(spark, sf_dir):
+    return radix_dedup.duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op12_jacobi_whitening")
+def op12(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_filter_audit", filter_audit.ORACLE)
+def op13(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
