@@ -1,0 +1,210 @@
+"""Exact duplicates, whitening and the filter audit against brute force."""
+
+import hashlib
+import random
+import re
+from itertools import permutations
+
+import numpy as np
+import pytest
+
+from posterwall.llm import filter_audit, radix_dedup, whitening
+from posterwall.llm.catalog import QUERIES
+from posterwall.llm.registry import table
+
+
+# Exact duplicates
+
+def brute_duplicates(rows):
+    groups = {}
+    for doc_id, text in rows:
+        groups.setdefault(text or "", []).append(doc_id)
+    out = []
+    for doc_id, text in rows:
+        ids = [i for i in groups[text or ""] if i is not None]
+        sha = hashlib.sha256((text or "").encode()).hexdigest()
+        out.append((doc_id, max(ids) if ids else None, len(groups[text or ""]), sha))
+    return sorted(out, key=repr), len(groups)
+
+
+def check_duplicates(docs, **widths):
+    want, n_groups = brute_duplicates([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    got = radix_dedup.duplicates(docs, **widths).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=repr) == want
+    assert sum(r.kept for r in got) == n_groups
+    assert all(r.doc_id == r.keep_id for r in got if r.kept)
+    kept = radix_dedup.keep_documents(docs, **widths)
+    assert kept.columns == docs.columns
+    texts = [r.text or "" for r in kept.select("text").collect()]
+    assert len(texts) == len(set(texts)) == n_groups
+
+
+@pytest.mark.parametrize("widths", [{}, {"first": 1, "growth": 3}])
+def test_duplicates_of_edge_rows(edges, widths):
+    check_duplicates(edges, **widths)
+
+
+def test_duplicates_end_at_digit_borders(spark):
+    """Texts whose ends and differences lie at, before and behind the ends of the digits; a hot group."""
+    rng = random.Random(5)
+    base = "".join(rng.choice("abé") for _ in range(90))
+    texts = [base[:n] for n in range(0, 41)] * 2 + [base[:n] + "x" for n in range(0, 41)] + [base] * 60 + [None, "\x00", "\x00\x00", "\x00"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    check_duplicates(docs, first=2, growth=2)
+    check_duplicates(docs)
+
+
+def test_duplicates_of_nothing(nothing):
+    assert radix_dedup.duplicates(nothing).count() == radix_dedup.keep_documents(nothing).count() == 0
+
+
+# Whitening
+
+def brute_whitening(vectors, most=32):
+    x = np.floor(64 * vectors.astype(float)) + 1_000_000
+    n, sums = len(x), x.sum(0)
+    centred = x - sums / n
+    values, columns = np.linalg.eigh(centred.T @ centred / n)
+    order = np.argsort(-values)[:most]
+    z = (n * x - sums).astype(np.int64)
+    return values[order], centred @ columns[:, order] / np.sqrt(values[order]), (z * z).sum(1), values.sum()
+
+
+def check_whitening(rows, ids, vectors):
+    values, whitened, deviations, trace = brute_whitening(vectors)
+    got = {(r.vec_id, r.component): r for r in rows}
+    assert len(got) == len(rows) == len(ids) * len(values)
+    for c in range(len(values)):
+        column = np.array([got[i, c + 1].whitened for i in ids])
+        sign = np.sign(column @ whitened[:, c])
+        assert np.abs(sign * column - whitened[:, c]).max() < 1e-6
+        assert got[ids[0], c + 1].explained == pytest.approx(values[c] / trace, rel=1e-9)
+    assert [got[i, 1].deviation for i in ids] == deviations.tolist()
+    assert {r.n for r in rows} == {len(ids)}
+    assert len({r.identity_error for r in rows}) == 1 and rows[0].identity_error < 1e-9
+
+
+def test_whitening_query_equals_eigenvectors(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    source = table(spark, sf_dir, "embeddings").collect()
+    rows = QUERIES["op12_jacobi_whitening"](spark, sf_dir).collect()
+    check_whitening(rows, [r.vec_id for r in source], np.array([r.embedding for r in source], np.float32))
+
+
+def test_whitening_of_edge_rows(spark):
+    rng = np.random.default_rng(3)
+    vectors = (rng.normal(size=(80, 5)) @ np.diag([9, 5, 3, 2, 1])).astype(np.float32)
+    rows = [(i, v.tolist(), "x", 1) for i, v in enumerate(vectors)]
+    nan, inf = float("nan"), float("inf")
+    bad = [None, [], [1.0, None, 0.0, 0.0, 0.0], [nan] * 5, [inf, 0.0, 0.0, 0.0, 0.0], [1.0] * 4, [1.0] * 7]
+    rows += [(1000 + i, v, None, None) for i, v in enumerate(bad)]
+    schema = "vec_id long, embedding array<float>, deviation string, n int"
+    got = whitening.whiten(spark.createDataFrame(rows, schema).repartition(3)).collect()
+    check_whitening(got, list(range(80)), vectors)
+    # Repeated and null ids are rows like others.
+    again = [(None if i < 2 else 7, v, "x", 1) for i, (_, v, _, _) in enumerate(rows[:80])]
+    assert len(whitening.whiten(spark.createDataFrame(again, schema)).collect()) == 80 * 5
+    # No variance: nothing, one vector, equal vectors, unusable vectors.
+    for few in ([], rows[:1], [rows[0]] * 4, rows[80:84]):
+        assert whitening.whiten(spark.createDataFrame(few, schema)).count() == 0
+    # A dimension that follows from the others has no component.
+    flat = [(i, [*v[:2], 0.5, v[0]], "x", 1) for i, v, _, _ in rows[:80]]
+    assert {r.component for r in whitening.whiten(spark.createDataFrame(flat, schema)).collect()} == {1, 2}
+
+
+def test_whitening_of_large_entries_is_exact(spark):
+    vectors = [[1e300, 1.0], [-1e300, 2.0], [5.0, -3.0]]
+    rows = whitening.whiten(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")).collect()
+    x = [[int(np.floor(64 * min(max(c, -(2.0**40)), 2.0**40))) + 1_000_000 for c in v] for v in vectors]
+    sums = [sum(column) for column in zip(*x)]
+    want = {i: sum((3 * a - s) ** 2 for a, s in zip(v, sums)) for i, v in enumerate(x)}
+    assert {r.vec_id: r.deviation for r in rows} == {i: d if d < 1 << 63 else None for i, d in want.items()}
+    assert all(d is None or abs(d) < 1 << 63 for d in want.values()) or any(r.deviation is None for r in rows)
+
+
+@pytest.mark.parametrize("d, rank", [(1, 1), (2, 2), (7, 7), (12, 5)])
+def test_cholesky_and_jacobi(d, rank):
+    rng = np.random.default_rng(d)
+    half = rng.normal(size=(d, rank)) * 10.0 ** rng.integers(-3, 3, rank)
+    a = half @ half.T
+    factor, order = whitening.pivoted_cholesky(a)
+    assert factor.shape == (d, rank)
+    assert np.allclose(factor @ factor.T, a[np.ix_(order, order)], rtol=0, atol=1e-12 * a.max())
+    assert (np.triu(factor, 1) == 0).all()
+    values, columns = whitening.decompose(a)
+    assert np.allclose(columns.T @ columns, np.eye(rank), atol=1e-12)
+    assert np.allclose(values, np.sort(np.linalg.svd(half)[1] ** 2)[::-1], rtol=1e-6)
+
+
+def test_products_are_exact():
+    rng = np.random.default_rng(1)
+    for size in (100, 1 << 25, 1 << 40):
+        y = rng.integers(-size, size, (50, 3))
+        assert (whitening.exact_products(y) == y.astype(object).T @ y.astype(object)).all()
+
+
+# Filter audit
+
+def brute_audit(docs, labels):
+    """The definition, order by order and document by document."""
+    first = {}
+    for doc_id, text, _ in docs:
+        if doc_id is not None:
+            first[text or ""] = min(doc_id, first.get(text or "", doc_id))
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
+    judged = []
+    for doc_id, text, lang in docs:
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        failed = {"A": len(words) < 200, "B": 100 * len(set(words)) < 50 * len(words),
+                  "C": 100 * len(re.findall("[A-Z]", text)) > 3 * len(text), "D": bool(re.search(r"[#$%&*|]", text)),
+                  "E": doc_id is not None and text in first and first[text] < doc_id}
+        judged.append((lang or "", {f for f, yes in failed.items() if yes}, doc_id in good, doc_id in toxic))
+    out, shapley = {}, {}
+    for part in {p for p, *_ in judged}:
+        own = [d for d in judged if d[0] == part]
+        for order in permutations("ABCDE"):
+            left = own
+            for step, f in enumerate(order, 1):
+                gone = [d for d in left if f in d[1]]
+                left = [d for d in left if f not in d[1]]
+                out[part, "".join(order), step] = (
+                    len(left), len(gone), sum(f in d[1] for d in own) - len(gone), sum(d[1] == {f} for d in own),
+                    sum(d[2] for d in gone), sum(d[3] for d in gone),
+                )
+                shapley[part, f] = shapley.get((part, f), 0) + len(gone)
+    return {k: (*v, shapley[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
+
+
+def check_audit(docs, labels):
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.select("doc_id", "text", "lang").collect()]
+    want = brute_audit(rows, [(r.doc_id, r.quality, r.toxic) for r in labels.select("doc_id", "quality", "toxic").collect()])
+    names = ["kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+    rows = filter_audit.audit(docs, labels).collect()
+    assert len(rows) == len(want)
+    assert {(r.part, r.filter_order, r.step): tuple(r[c] for c in names) for r in rows} == want
+
+
+LABELS = "doc_id long, quality int, toxic int, part string, bits int, n string"
+
+
+def test_audit_of_edge_rows(spark, edges):
+    labels = [(6, 1, 0), (6, 0, 0), (7, 1, 1), (8, None, 1), (None, 1, 1), (9, 0, 0), (99, 1, 1), (5, 1, None)]
+    check_audit(edges, spark.createDataFrame([(*row, "x", 1, "y") for row in labels], LABELS))
+
+
+def test_audit_of_copies_under_repeated_and_null_ids(spark):
+    long_text = " ".join(f"w{i}" for i in range(250))
+    texts = [long_text, long_text + " # ", "AB c " * 100, long_text.upper(), "", None, "e"]
+    rng = random.Random(2)
+    rows = [(rng.choice([None, *range(12)]), rng.choice(texts), rng.choice(["en", "de", None, ""])) for _ in range(60)]
+    rows += [(i, long_text, "en") for i in range(20, 60)]
+    labels = spark.createDataFrame([(i, i % 2, i % 3 % 2, "x", 1, "y") for i in range(0, 40)], LABELS)
+    check_audit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), labels)
+
+
+def test_audit_of_nothing(spark, nothing, edges):
+    no_labels = spark.createDataFrame([], LABELS)
+    assert filter_audit.audit(nothing, no_labels).count() == 0
+    check_audit(edges, no_labels)
