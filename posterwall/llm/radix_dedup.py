@@ -7,9 +7,10 @@ GROWTH a level (FIRST bytes, then 8 times as many), so texts of n bytes end afte
 levels, and each level moves the open documents only.
 
 Parts are counted with map-side combine, so a part with a third of all rows reaches its reducer as
-one row a task. The parts of more than one document are written and joined back: by broadcast if a
-count shows that they are small, else by a sort-merge join of two shuffles, which AQE splits where a
-part is hot. Every level is a written table: a lost executor repeats one level at most.
+one row a task. The parts of more than one document are written and joined back by a sort-merge join
+of two shuffles, in which AQE splits the side of the documents where a part is hot. So the first
+level moves all texts once, as a radix partition does, and the further ones what is still open. Every
+level is a written table: a lost executor repeats one level at most.
 
 A null text counts as empty; empty texts equal each other. Of equal texts the row with the largest
 doc_id stays; a null doc_id is below all others. Of rows that repeat doc_id and text exactly one
@@ -17,7 +18,9 @@ stays. An empty table gives no rows. Texts of any length are compared whole. Ext
 ignored by `duplicates` and kept by `keep_documents`.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from posterwall.llm.store import free_name, written
 from posterwall.session import broadcast_if_small
@@ -26,68 +29,64 @@ FIRST = 64
 GROWTH = 8
 
 
-def equal_rows(rows: DataFrame, first: int = FIRST, growth: int = GROWTH) -> DataFrame:
-    """row, keep_id, keep_row, size of the rows(row, id, bytes) that equal another one.
+def _marked(rows: DataFrame, row: Column, first: int, growth: int) -> DataFrame:
+    """row, id, sha, keep_id, keep_row, size of all of rows(id, text); `row` numbers them.
 
-    row must be unique. keep_row is the row of the largest id of its group.
+    keep_row is the row of the largest id among equal texts; the last three are null for a text of its own.
     """
-    width, ended = first, []
-    left = rows.select("row", "id", F.lit(0).cast("bigint").alias("part"), F.col("bytes").alias("rest"))
+    width, singles, ended = first, [], []
+    whole = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    left = rows.withColumns({"rest": whole, "part": F.lit(0).cast("bigint")})
+    kept = [row.alias("row"), "id", F.sha2(whole, 256).alias("sha")]
     while True:
         split = left.withColumn("digit", F.substring("rest", 1, width))
-        parts = split.groupBy("part", "digit").agg(
-            F.count(F.lit(1)).alias("size"),
-            F.min("row").alias("next"),
-            F.max("id").alias("keep_id"),
-            F.coalesce(F.max_by("row", "id"), F.min("row")).alias("keep_row"),
-        )
-        several = broadcast_if_small(written(parts.where("size > 1"), "radix-parts"), F.octet_length("digit"))
+        several = split.groupBy("part", "digit").count().where("count > 1")
+        several = written(several.select("part", "digit", F.monotonically_increasing_id().alias("next")), "radix-parts")
+        open_ = F.col("next").isNotNull()
+        more = F.octet_length("rest") >= width
         level = written(
-            split.join(several, ["part", "digit"]).select(
-                "row", "id", F.col("next").alias("part"), "size", "keep_id", "keep_row",
-                (F.octet_length("rest") < width).alias("ended"), F.expr(f"substring(rest, {width + 1})").alias("rest"),
+            split.join(several.hint("merge"), ["part", "digit"], "left").select(
+                *kept, F.col("next").alias("part"), (open_ & more).alias("more"),
+                F.when(open_ & more, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
             ),
             "radix-level",
         )
-        ended.append(level.where("ended").select("row", "keep_id", "keep_row", "size"))
-        left = level.where("not ended").select("row", "id", "part", "rest")
+        singles.append(level.where("part is null").select("row", "id", "sha"))
+        at = F.lit(len(ended)).alias("level")
+        ended.append(level.where("part is not null and not more").select("row", "id", "sha", at, "part"))
+        left, kept = level.where("more").select("row", "id", "sha", "part", "rest"), ["row", "id", "sha"]
         if left.isEmpty():
             break
         width *= growth
-    found = ended[0]
-    for more in ended[1:]:
-        found = found.unionByName(more)
-    return found
-
-
-def _marked(docs: DataFrame, row: str, **widths) -> DataFrame:
-    """The rows of docs, numbered and written once, with keep_id, keep_row and size where they equal others."""
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    found = equal_rows(docs.select(F.col(row).alias("row"), F.col("doc_id").alias("id"), text.alias("bytes")), **widths)
-    return broadcast_if_small(found)
+    equal, alone = reduce(DataFrame.unionByName, ended), reduce(DataFrame.unionByName, singles)
+    groups = written(
+        equal.groupBy("level", "part").agg(
+            F.count(F.lit(1)).alias("size"), F.max("id").alias("keep_id"), F.coalesce(F.max_by("row", "id"), F.min("row")).alias("keep_row")
+        ),
+        "radix-groups",
+    )
+    return equal.join(groups.hint("merge"), ["level", "part"]).drop("level", "part").unionByName(alone, allowMissingColumns=True)
 
 
-def duplicates(docs: DataFrame, **widths) -> DataFrame:
+def duplicates(docs: DataFrame, first: int = FIRST, growth: int = GROWTH) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs(doc_id, text)."""
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", sha.alias("sha"))
-    rows = written(rows, "radix-rows")
-    found = rows.select("row", "doc_id", "sha").join(_marked(rows, "row", **widths), "row", "left")
+    found = _marked(docs.select(F.col("doc_id").alias("id"), "text"), F.monotonically_increasing_id(), first, growth)
     return found.select(
-        "doc_id",
-        F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.col("id").alias("doc_id"),
+        F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("bigint").alias("group_size"),
         F.coalesce(F.col("keep_row") == F.col("row"), F.lit(True)).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
 
 
-def keep_documents(docs: DataFrame, **widths) -> DataFrame:
+def keep_documents(docs: DataFrame, first: int = FIRST, growth: int = GROWTH) -> DataFrame:
     """The rows of docs that stay, one of each group of equal texts, with all their columns."""
     row = free_name(docs, "row_number")
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "radix-rows")
-    gone = _marked(rows, row, **widths).where("keep_row <> row").select(F.col("row").alias(row))
-    return rows.join(broadcast_if_small(written(gone, "radix-gone")), row, "left_anti").select(*docs.columns)
+    found = _marked(rows.select(F.col(row).alias("row"), F.col("doc_id").alias("id"), "text"), F.col("row"), first, growth)
+    gone = written(found.where("keep_row <> row").select(F.col("row").alias(row)), "radix-gone")
+    return rows.join(broadcast_if_small(gone), row, "left_anti").select(*docs.columns)
 
 
 ORACLE = """
