@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from posterwall import versions
 from posterwall.catalog import fixtures as fx
 from posterwall.catalog.feeds import _submissions
 from posterwall.catalog.pages import _TITLE
@@ -9,10 +10,10 @@ from posterwall.catalog.registry import query
 from posterwall.operators import stats
 from posterwall.operators.numbering import assign_batches
 from posterwall.operators.runs import run_results as results_of_run
-from posterwall.session import materialize, shared_dir
+from posterwall.session import shared_dir
 from posterwall.sinks import tables
 from posterwall.sources import html
-from posterwall.sources.tables import pages_of
+from posterwall.sources.tables import pages_of, read_cities, read_countries
 
 _NULL_RUNS = f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, seq, cast(ceil(seq / 10.0) AS BIGINT) AS batch_number
     FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN l_orderkey % 3 > 0 THEN l_orderkey % 3 END
@@ -89,7 +90,7 @@ def inbox_append(spark, sf_dir):
 
 @query(
     "sync_absent_tables",
-    """SELECT 'city ' || n_nationkey AS _id, CAST(n_nationkey + 1 AS BIGINT) AS city_ord FROM nation WHERE n_nationkey < 10
+    """SELECT 'city ' || n_nationkey AS _id, CAST(n_nationkey + 1 AS BIGINT) AS city_ord FROM nation
        UNION ALL SELECT 'country ' || r_regionkey, NULL FROM region""",
 )
 def sync_absent_tables(spark, sf_dir):
@@ -97,7 +98,7 @@ def sync_absent_tables(spark, sf_dir):
     path = shared_dir(spark, "sync")
     nation, region = fx.table(spark, sf_dir, "nation"), fx.table(spark, sf_dir, "region")
     none = F.lit(None)
-    cities = nation.where("n_nationkey < 10").select(
+    cities = nation.select(
         F.concat(F.lit("city "), "n_nationkey").alias("_id"), F.col("n_regionkey").cast("string").alias("country_id"),
         F.col("n_name").alias("name"), none.cast("int").alias("sort"),
         none.cast("struct<lat: string, lon: string>").alias("coordinates"), F.col("n_nationkey").cast("bigint").alias("input_ord"),
@@ -109,19 +110,19 @@ def sync_absent_tables(spark, sf_dir):
     for _ in range(2):
         tables.sync_cities(spark, cities, f"{path}/cities")
         tables.sync_countries(spark, countries, f"{path}/countries", F.current_timestamp())
-    synced = spark.read.parquet(f"{path}/cities").select("_id", "city_ord")
-    return synced.unionByName(spark.read.parquet(f"{path}/countries").select("_id", F.lit(None).cast("bigint").alias("city_ord")))
+    synced = read_cities(spark, f"{path}/cities").select("_id", "city_ord")
+    return synced.unionByName(read_countries(spark, f"{path}/countries").select("_id", F.lit(None).cast("bigint").alias("city_ord")))
 
 
 @query(
     "replace_and_read_run",
-    f"""SELECT l_linenumber, l_partkey, row_number() OVER (ORDER BY l_orderkey, {fx.K5_SQL}) AS seq FROM lineitem WHERE l_linenumber = 1""",
+    f"""SELECT l_linenumber, l_partkey, row_number() OVER (ORDER BY l_orderkey, {fx.K5_SQL}) AS seq FROM lineitem""",
 )
 def replace_and_read_run(spark, sf_dir):
     """A staged table replaced by itself through the sink, and a run read back in order."""
-    lineitem = fx.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", *fx.K5)
+    lineitem = fx.table(spark, sf_dir, "lineitem").select("l_orderkey", *fx.K5)
     path = shared_dir(spark, "replace")
     numbered = assign_batches(lineitem.withColumn("operation", F.lit("run")), ["l_orderkey", *fx.K5])
-    materialize(numbered, "run").write.parquet(path)
-    tables.replace_table(spark.read.parquet(path), path)
-    return results_of_run(spark.read.parquet(path), "run").select("l_linenumber", "l_partkey", F.col("seq"))
+    first = tables.replace_table(numbered, path)
+    tables.replace_table(versions.read(spark, path, numbered.schema), path, first)
+    return results_of_run(versions.read(spark, path, numbered.schema), "run").select("l_linenumber", "l_partkey", F.col("seq"))

@@ -8,7 +8,7 @@ from posterwall.operators import retention, runs, stats
 from posterwall.operators.filters import is_run_type
 from posterwall.operators.numbering import assign_batches
 from posterwall.plans.common import RunParameters, to_events
-from posterwall.session import shared_dir
+from posterwall.session import materialize, shared_dir
 from posterwall.sinks import tables
 
 
@@ -195,19 +195,12 @@ def stage_and_page(spark, sf_dir):
     """Stage all orders as one run, then read its third page of fifty."""
     path = shared_dir(spark, "staged")
     tables.stage_events(_order_events(spark, sf_dir, "run-1"), "run-1", ["ord"], F.col("date_start"), path)
-    first_day = F.min("o_orderdate").alias("created_at")
-    run = fx.table(spark, sf_dir, "orders").agg(first_day).withColumn("_id", F.lit("run-1"))
-    page = runs.page_of_events(tables.read_staged(spark, path), run, page=3, per_page=50)
+    page = tables.open_page(spark, path, "run-1", page=3, per_page=50)
     return page.select("operation", "seq", "batch_number", "event_data.name", "event_data.min_price")
 
 
-@query(
-    "retention_delete",
-    f"""SELECT 'run-' || (o_orderkey % 3) AS operation, count(*) AS n, {fx.sql_text_of("min(o_orderdate)")} AS oldest
-        FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_orderdate < {_CUTOFF}) GROUP BY 1""",
-)
-def retention_delete(spark, sf_dir):
-    """Three staged runs; the first is done and old, the second failed, the third ended late."""
+def _thinned(spark, sf_dir):
+    """Three staged runs after retention; the first is done and old, the second failed, the third ended late."""
     path = shared_dir(spark, "staged")
     orders = fx.table(spark, sf_dir, "orders").withColumn("run", F.col("o_orderkey") % 3)
     for number in range(3):
@@ -219,5 +212,51 @@ def retention_delete(spark, sf_dir):
         F.when(F.col("run") == 1, "error").otherwise("success").alias("status"),
     )
     tables.delete_expired(spark, path, operations, fx.AS_OF)
+    return path
+
+
+_LEFT = f"""SELECT 'run-' || (o_orderkey % 3) AS operation, count(*) AS n, {fx.sql_text_of("min(o_orderdate)")} AS oldest
+        FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_orderdate < {_CUTOFF}) GROUP BY 1"""
+
+
+def _left(spark, path):
     left = tables.read_staged(spark, path).groupBy("operation")
     return left.agg(F.count(F.lit(1)).alias("n"), fx.text_of(F.min("created_at")).alias("oldest"))
+
+
+@query("retention_delete", _LEFT)
+def retention_delete(spark, sf_dir):
+    return _left(spark, _thinned(spark, sf_dir))
+
+
+@query("retention_compact", _LEFT)
+def retention_compact(spark, sf_dir):
+    """The same after the thinned runs are rewritten and the old folders are gone."""
+    path = _thinned(spark, sf_dir)
+    tables.compact(spark, path, rows_per_file=1000)
+    tables.drop_stale(spark, path)
+    return _left(spark, path)
+
+
+@query(
+    "retention_pages",
+    f"""WITH kept AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders WHERE o_orderkey % 3 = 0 AND o_orderdate >= {_CUTOFF}),
+        runs AS (SELECT o_orderkey % 3 AS run, count(*) FILTER (WHERE o_orderkey % 3 > 0 OR o_orderdate >= {_CUTOFF}) AS n FROM orders GROUP BY 1),
+        states AS (SELECT unnest(['before', 'after']) AS state)
+        SELECT state, 'order ' || o_orderkey AS name, NULL::BIGINT AS total_events FROM kept, states WHERE place > 10 AND place <= 20
+        UNION ALL SELECT state, 'run-' || run, n FROM runs, states""",
+)
+def retention_pages(spark, sf_dir):
+    """The second page of a thinned run and the counts of all runs, before and after compaction."""
+    path = _thinned(spark, sf_dir)
+
+    def seen(state):
+        page = tables.open_page(spark, path, "run-0", page=2, per_page=10).select(F.col("event_data.name").alias("name"))
+        counts = tables.staged_counts(spark, path).select(F.col("operation").alias("name"), "total_events")
+        rows = page.withColumn("total_events", F.lit(None).cast("bigint")).unionByName(counts)
+        return rows.select(F.lit(state).alias("state"), "name", "total_events")
+
+    before = materialize(seen("before"), "pages")
+    tables.compact(spark, path, rows_per_file=1000)
+    tables.drop_stale(spark, path)
+    return before.unionByName(seen("after"))

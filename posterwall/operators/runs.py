@@ -51,11 +51,12 @@ def total_pages(total: Column, per_page: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(total / F.lit(per_page))).cast("bigint")
 
 
-def page_summary(staged: DataFrame, runs: DataFrame, page=None, per_page=None) -> DataFrame:
+def page_summary(staged: DataFrame | None, runs: DataFrame, page=None, per_page=None, counts: DataFrame | None = None) -> DataFrame:
     """Per run its events, pages, and whether this page is the last; runs without events have
-    one empty page."""
+    one empty page. counts (operation, total_events), if known, saves counting the staged events."""
     page, per_page = page_bounds(page, per_page)
-    counts = events_of(staged, runs).groupBy("operation").agg(F.count(F.lit(1)).alias("total_events"))
+    if counts is None:
+        counts = events_of(staged, runs).groupBy("operation").agg(F.count(F.lit(1)).alias("total_events"))
     return (
         runs.select(F.col("_id").alias("operation"), "type")
         .join(counts, "operation", "left")

@@ -13,8 +13,8 @@ from posterwall.operators.filters import choose_cities, is_sold_out, missing_ids
 from posterwall.operators.grouping import group_slots, merge_duplicates
 from posterwall.plans.common import RunParameters, to_events
 from posterwall.session import materialize
-from posterwall.sources.html import extract_schedule_slots, extract_tour_cards
-from posterwall.sources.tables import pages_of
+from posterwall.sources.html import read_schedule_slots, read_tour_cards, rows_of_pages
+from posterwall.sources.tables import parsed_pages
 
 SLOT_KEEP = ("city_id", "country_id", "coordinates", "description", "photo_url", "tour_url")
 
@@ -27,7 +27,7 @@ def schedule_cards(cities: DataFrame, city_pages: DataFrame) -> DataFrame:
         F.col("name").alias("page_city_name"),
         F.col("city_ord").alias("page_city_ord"),
     )
-    cards = extract_tour_cards(pages_of(city_pages, wanted)).join(wanted, "url")
+    cards = rows_of_pages(parsed_pages(city_pages, wanted, read_tour_cards)).join(wanted, "url")
     cards = cards.withColumn("tour_url", absolutize_link("link")).where(F.col("tour_url") != "")
     return cards.withColumn("photo_url", absolutize_photo("photo")).withColumnRenamed("pos", "card_pos")
 
@@ -35,7 +35,7 @@ def schedule_cards(cities: DataFrame, city_pages: DataFrame) -> DataFrame:
 def schedule_slots(cards: DataFrame, tour_pages: DataFrame) -> DataFrame:
     """Open slots of each card's tour page. A page is parsed once however many cards link to it."""
     linked = cards.select(F.col("tour_url").alias("url"))
-    slots = extract_schedule_slots(pages_of(tour_pages, linked)).where(~is_sold_out("availability", "action_text"))
+    slots = rows_of_pages(parsed_pages(tour_pages, linked, read_schedule_slots)).where(~is_sold_out("availability", "action_text"))
     slots = slots.select(
         F.col("url").alias("tour_url"),
         F.col("pos").alias("slot_pos"),

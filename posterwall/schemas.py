@@ -59,4 +59,4 @@ FEED = (
     "venueLatitude: DOUBLE, venueLongitude: DOUBLE, minPrice: DOUBLE, maxPrice: DOUBLE>>>>"
 )
 
-RUN_LOG = "operation STRING, ts TIMESTAMP, message STRING"
+RUN_LOG = "operation STRING, part BIGINT, line BIGINT, ts TIMESTAMP, message STRING"

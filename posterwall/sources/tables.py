@@ -2,16 +2,17 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from posterwall import versions
 from posterwall.schemas import CITIES, COUNTRIES
-from posterwall.session import broadcast_if_small
+from posterwall.session import broadcast_if_small, materialize
 
 
 def read_cities(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CITIES).parquet(path)
+    return versions.read(spark, path, CITIES)
 
 
 def read_countries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(COUNTRIES).parquet(path)
+    return versions.read(spark, path, COUNTRIES)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -21,21 +22,41 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
 
+def _linked(pages: DataFrame, urls: DataFrame) -> DataFrame:
+    wanted = broadcast_if_small(urls.select("url").where("url is not null").distinct(), F.length("url"))
+    return pages.join(wanted, "url", "left_semi")
+
+
 def pages_of(pages: DataFrame, urls: DataFrame) -> DataFrame:
     """The pages of the given urls, one per url, before anything is parsed.
 
     urls has a column url. Of several pages of a url the one of the highest digest is taken, so
-    that reruns agree; only those pages are shuffled when the urls are few.
+    that reruns agree; only those pages are shuffled when the urls are few. Only linked pages are
+    counted. Where pages are parsed anyway, `parsed_pages` shuffles no HTML at all.
     """
-    wanted = broadcast_if_small(urls.select("url").where("url is not null").distinct(), F.length("url"))
-    linked = pages.select("url", "html").join(wanted, "url", "left_semi")
-    counts = pages.select("url").groupBy("url").count().where("count > 1").select("url")
-    repeated = broadcast_if_small(counts.join(wanted, "url", "left_semi"), F.length("url"))
+    linked = _linked(pages.select("url", "html"), urls)
+    counts = _linked(pages.select("url"), urls).groupBy("url").count().where("count > 1").select("url")
+    repeated = broadcast_if_small(materialize(counts, "repeated"), F.length("url"))
     last = F.max_by("html", F.struct(F.xxhash64("html"), "html")).alias("html")
     once = linked.join(repeated, "url", "left_semi").groupBy("url").agg(last)
     return linked.join(repeated, "url", "left_anti").unionByName(once)
 
 
+def parsed_pages(pages: DataFrame, urls: DataFrame, read) -> DataFrame:
+    """What read(pages, keys) finds in the pages of the given urls, a row for one page per url.
+
+    The pages are read once: the linked ones are parsed where they lie and written without their
+    HTML. Which of several pages of a url counts (the highest digest) is decided on what was written.
+    """
+    marked = pages.select("url", "html", F.xxhash64("html").alias("_digest"), F.monotonically_increasing_id().alias("_page"))
+    parsed = materialize(read(_linked(marked, urls), keys=("url", "_digest", "_page")), "pages")
+    best = parsed.groupBy("url").agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("_digest", "_page")).alias("_best"))
+    repeated = materialize(best.where("_n > 1").select("url", "_best"), "repeated")
+    chosen = parsed.join(broadcast_if_small(repeated, F.length("url")), "url", "left")
+    own = F.col("_best").isNull() | (F.struct("_digest", "_page") == F.col("_best"))
+    return chosen.where(own).drop("_digest", "_page", "_best")
+
+
 def lookup_pages(links: DataFrame, extracted: DataFrame, link: str = "href") -> DataFrame:
     """Left join of links to what was extracted from their pages; `found` tells misses apart.
 
