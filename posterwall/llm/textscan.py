@@ -2,7 +2,8 @@
 
 Words are maximal runs of bytes outside space and \\x09-\\x0D; these bytes never occur inside a
 multi-byte UTF-8 character, so the words are those of the text. Words, lines and windows are
-told apart by 64-bit hashes: polynomial in the bytes, then mixed. Texts are scanned in slices of
+told apart by 64-bit hashes: sums of a random-looking number for each byte at each place of the span,
+then mixed, so no structure of a text makes hashes collide. Texts are scanned in slices of
 about SLICE_BYTES, so memory does not grow with the batch (a longer text is a slice of its own).
 """
 
@@ -19,22 +20,9 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_BASE = 0x9E3779B97F4A7C55
 _SALT = np.uint64(0xD1B54A32D192ED03)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    """Powers of the hash base, or of its inverse, modulo 2**64, up to n."""
-    have = _powers[kind]
-    if len(have) < n:
-        base = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
-        have = np.full(max(n, 2 * SLICE_BYTES), base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if n <= 2 * SLICE_BYTES:
-            _powers[kind] = have
-    return have[:n]
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_PLACES = 128
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,6 +35,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+# The numbers of all bytes at the first places of a span.
+_NUMBERS = mix((np.arange(_PLACES << 8, dtype=np.uint64) + np.uint64(1)) * _SPREAD)
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
@@ -88,7 +80,6 @@ class Scan:
         edge = np.flatnonzero(np.diff(self.in_word.view(np.int8), prepend=0, append=0))
         self.start, self.end = edge[::2], edge[1::2]
         self.doc = np.searchsorted(self.text_start, self.start, "right") - 1
-        self._sums = None
 
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """Sum of a per-byte array over each text."""
@@ -100,12 +91,27 @@ class Scan:
         return np.bincount(self.doc, minlength=self.n)
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of the bytes of each span, whatever its place."""
-        if self._sums is None:
-            n = len(self.data)
-            self._sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power("up", n), out=self._sums[1:])
-        return mix((self._sums[end] - self._sums[start]) * _power("down", len(self.data))[start])
+        """Hash of the bytes of each span (none is empty), whatever its place in the texts."""
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        sizes = end - start
+        first = np.cumsum(sizes) - sizes
+        total = int(first[-1] + sizes[-1])
+        # Steps of one, and at the first byte of a span the jump there: two running sums.
+        place, at = np.ones(total, np.int32), np.ones(total, np.int32)
+        place[0], at[0] = 0, start[0]
+        place[first[1:]] = 1 - sizes[:-1]
+        at[first[1:]] = start[1:] - end[:-1] + 1
+        np.cumsum(place, out=place)
+        np.cumsum(at, out=at)
+        far = np.flatnonzero(place >= _PLACES) if sizes.max() > _PLACES else place[:0]
+        number = place << 8
+        number |= self.data[at]
+        beyond = number[far].astype(np.uint64)
+        number[far] = 0
+        numbers = _NUMBERS[number]
+        numbers[far] = mix((beyond + np.uint64(1)) * _SPREAD)
+        return mix(np.add.reduceat(numbers, first) + sizes.astype(np.uint64) * _SALT)
 
     def word_hash(self) -> np.ndarray:
         return self.span_hash(self.start, self.end)
