@@ -19,9 +19,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from posterwall.llm.store import written
+from posterwall.session import broadcast_if_small
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 2 << 20
@@ -162,24 +163,28 @@ class _Bundle:
         return bytes(self.content) + seek_table(self.frames)
 
 
+def _digest() -> Column:
+    return F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
+
+
 def first_of_equal(pages: DataFrame) -> DataFrame:
-    """page_id, refers_to of the pages that revisit another; only digests are shuffled."""
-    digests = pages.where("page_id is not null").select(
-        "page_id", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("digest")
-    )
+    """page_id, digest, refers_to of the payloads that revisit another page's; only digests are shuffled."""
+    digests = pages.where("page_id is not null").select("page_id", _digest().alias("digest"))
     shared = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"))
     shared = shared.where("refers_to < last").drop("last")
-    return digests.join(shared, "digest").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return digests.join(shared.hint("merge"), "digest").where("page_id <> refers_to").distinct()
 
 
 def write_bundles(pages: DataFrame) -> DataFrame:
     """path, content, records (the index) of the bundles of pages(page_id, url, html).
 
-    path and content are those of a .warc.zst file. Rows that repeat a page_id with other payloads
-    refer by their own payload's response only if the id's payload is unique; ids should be unique.
+    path and content are those of a .warc.zst file. A page_id that has several payloads has a record
+    for each row; every one refers by its own payload. Revisits are broadcast where a count shows
+    that they are few, so pages are not shuffled for them.
     """
-    rows = pages.select("page_id", "url", "html")
-    typed = rows.join(first_of_equal(rows), "page_id", "left")
+    rows = pages.select("page_id", "url", "html", _digest().alias("digest"))
+    revisits = written(first_of_equal(pages), "warc-revisits")
+    typed = rows.join(broadcast_if_small(revisits), ["page_id", "digest"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, bundle = TaskContext.get().partitionId(), 0, _Bundle()
