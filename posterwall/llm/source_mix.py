@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from posterwall.llm.store import written
+from posterwall.llm.store import free_name, written
 from posterwall.session import broadcast_if_small
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -193,13 +193,14 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
 
     Copies are joined back by id and source; documents of no copies are left out.
     """
+    of, origin, copies, time = (free_name(docs, name) for name in ("mix_id", "mix_source", "mix_copies", "mix_time"))
     taken = mix(docs, **parameters).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("copies").alias("_copies")
+        F.col("doc_id").alias(of), F.col("source").alias(origin), F.col("copies").alias(copies)
     )
     # One row per document; of rows that repeat an id with and without words those without follow.
-    taken = written(taken.groupBy("_id", "_from").agg(F.max("_copies").alias("_copies")), "mix-taken")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_from"))
-    both = docs.join(broadcast_if_small(taken, F.length("_from")), same)
+    taken = written(taken.groupBy(of, origin).agg(F.max(copies).alias(copies)), "mix-taken")
+    same = F.col("doc_id").eqNullSafe(F.col(of)) & F.col("source").eqNullSafe(F.col(origin))
+    both = docs.join(broadcast_if_small(taken, F.length(origin)), same)
     names = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
-    times = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return both.select(*names, times.alias("_time")).select(*names)
+    times = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))
+    return both.select(*names, times.alias(time)).select(*names)
