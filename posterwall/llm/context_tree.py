@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from posterwall.llm.folds import held_out
 from posterwall.llm.store import written
-from posterwall.llm.textscan import LOWER, Scan, slices, text_bytes
+from posterwall.llm.textscan import LOWER, Scan, text_slices
 
 DEPTH = 5
 HEAD_WORDS = 1 << 18
@@ -88,12 +88,12 @@ def _counted(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _Counter()
         for batch in batches:
-            texts, out = text_bytes(batch.column(0)), np.array(batch.column(1).to_pylist(), bool)
-            for a, b in slices(texts):
-                scan = Scan(texts[a:b], lower=True)
+            out = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for a, b, texts in text_slices(batch.column(0)):
+                scan = Scan(texts, lower=True)
                 learned = ~out[a:b]
                 counter.add(_WORD, scan.word_hash(), learned[scan.doc])
-                doc, key = runs(texts[a:b], depth)
+                doc, key = runs(texts, depth)
                 counter.add(_RUN, key, learned[doc])
                 counter.add(_TEXT, np.zeros(b - a, np.int64), learned)
                 if counter.size > _PENDING:
@@ -178,14 +178,21 @@ def run_probabilities(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def _head(rows: DataFrame, value: str, weight: str, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(keys, values, least weight) of the rows of the highest weights: `most` at most, whole weights only."""
-    by_weight = rows.groupBy(F.least(F.col(weight), F.lit(100_000)).alias("w")).count().orderBy(F.desc("w")).collect()
-    least, held = 100_001, 0
-    for row in by_weight:
-        held += row["count"]
+    """(keys, values, least weight) of the rows of the highest weights: `most` at most, whole weights only.
+
+    Weights are counted by their logarithm, so what reaches the driver is a few hundred counts and the
+    head itself. Weights that are too frequent to fit are left to the join, and so is all below them.
+    """
+    step = F.floor(F.log2(F.greatest(F.col(weight), F.lit(1)).cast("double")) * 16)
+    counted = rows.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min(weight).alias("low"), F.max(weight).alias("high"))
+    least, held = None, 0
+    for row in counted.orderBy(F.desc("step")).collect():
+        held += row["n"]
         if held > most:
+            least = row["high"] + 1 if least is None else least
             break
-        least = row["w"]
+        least = row["low"]
+    least = 0 if least is None else least
     kept = rows.where(F.col(weight) >= least).select("key", value).toArrow()
     keys, values = kept["key"].to_numpy().astype(np.int64), kept[value].to_numpy().astype(float)
     order = np.argsort(keys)
@@ -242,9 +249,8 @@ def score(docs: DataFrame, out: Column, depth: int = DEPTH, head_words: int = HE
         words_, gains, runs_, logs = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            for a, b in slices(texts):
-                part, n = texts[a:b], b - a
+            for a, b, part in text_slices(batch.column(1)):
+                n = b - a
                 scan = Scan(part, lower=True)
                 tokens_ = scan.n_words() + 1
                 hashes = scan.word_hash().view(np.int64)
