@@ -22,14 +22,19 @@ def _setting(spark, key: str, value: str):
             spark.conf.set(key, before)
 
 
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """Write df once into the shared folder and go on from the written table.
+def written(df: DataFrame, kind: str, files: int | None = None) -> DataFrame:
+    """Write df once into the shared folder and go on from the written table, in at most `files` files.
+
+    A limit of files comes from the number of rows, never of cores: partitions that hold next to nothing
+    are written one after the other by one task. A file costs more than the rows of a tiny partition do.
 
     The lineage ends there, so a lost executor costs a retry of what follows only. The shuffle
     files behind the table are deleted when it is written: nothing reads them again.
     """
     spark = df.sparkSession
     path = shared_dir(spark, kind)
+    if files:
+        df = df.coalesce(files)
     with _setting(spark, _CLEANUP, "true"):
         df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
