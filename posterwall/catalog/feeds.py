@@ -23,34 +23,34 @@ def _json_text(*parts):
 
 
 def _feed(spark, sf_dir):
-    """Orders as series with up to two events each, written as gzipped JSON and read back.
+    """Orders as series with an event for each line item, written as gzipped JSON and read back.
 
-    Latitudes are numbers, quoted numbers or missing; every eleventh series has no events.
+    Latitudes are numbers, quoted numbers or missing; an order without line items has no events.
     """
-    key = F.col("o_orderkey")
+    key, line = F.col("o_orderkey"), fx.table(spark, sf_dir, "lineitem")
     lat = F.when(key % 4 == 0, F.lit("48.5")).when(key % 4 == 1, F.lit('"48.5"')).otherwise("null")
-    when = F.when(key % 13 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'19:30:00'+01:00'"))
     city = F.when(key % 6 == 0, "").otherwise(F.concat(F.lit("Nation_"), F.col("o_custkey") % 30))
+    lines = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*fx.K5))).alias("lines"))
 
-    def event(number: int):
+    def event(row, number):
+        when = F.when(key % 13 == 0, "soon").otherwise(F.date_format(row["l_shipdate"], "yyyy-MM-dd'T'19:30:00'+01:00'"))
         return _json_text(
-            "{~eventName~:~", F.when(key % 3 == 0, "").otherwise(F.concat(F.lit(f"Event {number} of "), key)),
+            "{~eventName~:~", F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("Event "), number, F.lit(" of "), key)),
             "~,~eventDateIso8601~:~", when, "~,~eventVenue~:~Hall ", key % 5, "~,~eventStreet~:~~,~eventZip~:~", key % 100,
             "~,~eventCity~:~", city, "~,~eventLink~:~~,~venueLatitude~:", lat, ",~venueLongitude~:9.25,~minPrice~:",
-            F.when(key % 2 == 0, F.col("o_totalprice").cast("string")).otherwise('"1"'), f",~maxPrice~:{number}}}",
+            F.when(key % 2 == 0, row["l_extendedprice"].cast("string")).otherwise('"1"'), ",~maxPrice~:", number.cast("string"), "}",
         )
 
-    events = (
-        F.when(key % 11 == 0, F.lit("null"))
-        .when(key % 2 == 0, F.concat(F.lit("["), event(0), F.lit("]")))
-        .otherwise(F.concat(F.lit("["), event(0), F.lit(","), event(1), F.lit("]")))
-    )
+    events = F.concat(F.lit("["), F.concat_ws(",", F.transform("lines", event)), F.lit("]"))
     document = _json_text(
         "{~eventserie~:[{~esName~:~Series ", key, "~,~esText~:~", F.when(key % 7 == 0, "").otherwise("About"),
-        "~,~esLink~:~https://example.org/", key, "~,~esPictureSmall~:~p", key, "~,~events~:", events, "}]}",
+        "~,~esLink~:~https://example.org/", key, "~,~esPictureSmall~:~p", key, "~,~events~:",
+        F.when(F.col("lines").isNull(), "null").otherwise(events), "}]}",
     )
     path = shared_dir(spark, "feed")
-    fx.spread(fx.table(spark, sf_dir, "orders"), "o_orderkey").select(document.alias("value")).write.option("compression", "gzip").text(path)
+    orders = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    series = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    fx.spread(series, "o_orderkey").select(document.alias("value")).write.option("compression", "gzip").text(path)
     documents = read_feed(spark, path, multi_line=False).withColumn(
         "o_orderkey", F.expr("try_cast(substring(eventserie[0].esName, 8) AS BIGINT)")
     )
@@ -58,15 +58,16 @@ def _feed(spark, sf_dir):
 
 
 _FEED = f"""feed AS (
-  SELECT o_orderkey AS k, o_custkey, cast(e AS INTEGER) AS e, o_orderdate, o_totalprice,
+  SELECT o_orderkey AS k, o_custkey, cast(row_number() OVER (PARTITION BY o_orderkey ORDER BY {fx.K5_SQL}) - 1 AS INTEGER) AS e,
+         l_shipdate AS event_day, l_extendedprice AS price,
          CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE 'Nation_' || (o_custkey % 30) END AS event_city
-  FROM (SELECT *, unnest(CASE WHEN o_orderkey % 2 = 0 THEN [0] ELSE [0, 1] END) AS e FROM orders WHERE o_orderkey % 11 <> 0))"""
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"""
 
 
 @query(
     "explode_feed",
     f"""WITH {_FEED} SELECT k AS o_orderkey, e AS event_pos, 'Series ' || k AS "esName", event_city AS "eventCity",
-               CASE WHEN k % 4 = 0 THEN cast(48.5 AS DOUBLE) END AS lat, CASE WHEN k % 2 = 0 THEN o_totalprice END AS min_price, cast(e AS DOUBLE) AS max_price
+               CASE WHEN k % 4 = 0 THEN cast(48.5 AS DOUBLE) END AS lat, CASE WHEN k % 2 = 0 THEN price END AS min_price, cast(e AS DOUBLE) AS max_price
         FROM feed""",
 )
 def exploded(spark, sf_dir):
@@ -90,10 +91,10 @@ _ADDRESS = "concat_ws(', ', 'Hall ' || (k % 5), cast(k % 100 AS VARCHAR), nullif
     f"""WITH {_FEED_RUN}
         SELECT name, CASE WHEN k % 7 <> 0 THEN 'About' WHEN k % 3 = 0 THEN '' ELSE name END AS description, {_ADDRESS} AS address,
                city_id, country_id, 'https://example.org/' || k AS website, 'p' || k AS photo,
-               strftime(o_orderdate, '%Y-%m-%d') || 'T18:30:00.000Z' AS holding_date,
-               {fx.sql_text_of("o_orderdate + INTERVAL 1110 MINUTE")} AS date_start,
+               strftime(event_day, '%Y-%m-%d') || 'T18:30:00.000Z' AS holding_date,
+               {fx.sql_text_of("event_day + INTERVAL 1110 MINUTE")} AS date_start,
                CASE WHEN k % 4 = 0 THEN cast(48.5 AS DOUBLE) ELSE city_lat END AS lat, CASE WHEN k % 4 = 0 THEN cast(9.25 AS DOUBLE) ELSE city_lon END AS lon,
-               CASE WHEN k % 2 = 0 THEN o_totalprice END AS min_price, cast(e AS DOUBLE) AS max_price, 'run-2' AS "operationId"
+               CASE WHEN k % 2 = 0 THEN price END AS min_price, cast(e AS DOUBLE) AS max_price, 'run-2' AS "operationId"
         FROM feed_rows WHERE reason IS NULL""",
 )
 def feed_run(spark, sf_dir):

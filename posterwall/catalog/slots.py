@@ -145,28 +145,32 @@ def reject_reasons(spark, sf_dir):
 @query(
     "city_scrape_stats",
     f"""WITH {fx.CITIES},
-        cards AS (SELECT cast(c_nationkey AS VARCHAR) AS c, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 7 <> 3 GROUP BY 1),
+        cards AS (SELECT cast(c_nationkey AS VARCHAR) AS c, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
         slot_counts AS (SELECT cast(s_nationkey AS VARCHAR) AS c, count(*) FILTER (WHERE l_linenumber = 1) AS skipped,
-                         count(*) FILTER (WHERE l_linenumber > 1 AND l_returnflag = 'A') AS added
+                         count(*) FILTER (WHERE l_linenumber > 1) AS added
                   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1)
         SELECT _id AS page_city, name, coalesce(cards.n, 0) AS scraped, coalesce(skipped, 0) AS skipped_missing_ids,
                coalesce(added, 0) AS added, CASE WHEN cards.n IS NULL THEN 'No events found on page for city ' || name END AS note
-        FROM cities LEFT JOIN cards ON cards.c = _id LEFT JOIN slot_counts ON slot_counts.c = _id""",
+        FROM (SELECT _id, name FROM cities UNION ALL SELECT 'region ' || r_regionkey, r_name FROM region)
+        LEFT JOIN cards ON cards.c = _id LEFT JOIN slot_counts ON slot_counts.c = _id""",
 )
 def scrape_stats(spark, sf_dir):
+    """Over all customers, orders and slots; regions are cities whose page shows nothing."""
     orders = fx.table(spark, sf_dir, "orders").select("o_custkey")
-    customer = fx.table(spark, sf_dir, "customer").where(F.col("c_nationkey") % 7 != 3)
+    customer = fx.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     cards = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("c_nationkey").cast("string").alias("page_city")
     )
     supplier = fx.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("page_city"))
     slots = (
-        fx.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_returnflag")
+        fx.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber")
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .withColumn("reason", F.when(F.col("l_linenumber") == 1, "city/country id missing"))
     )
     ok, _ = split_rejects(slots)
-    return city_scrape_stats(fx.cities(spark, sf_dir), cards, slots, ok.where(F.col("l_returnflag") == "A"))
+    empty = fx.table(spark, sf_dir, "region").select(F.concat(F.lit("region "), "r_regionkey").alias("_id"), F.col("r_name").alias("name"))
+    cities = fx.cities(spark, sf_dir).select("_id", "name").unionByName(empty)
+    return city_scrape_stats(cities, cards, slots, ok)
 
 
 @query(
