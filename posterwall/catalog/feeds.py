@@ -27,18 +27,25 @@ def _feed(spark, sf_dir):
 
     Latitudes are numbers, quoted numbers or missing; an order without line items has no events.
     """
-    key, line = F.col("o_orderkey"), fx.table(spark, sf_dir, "lineitem")
+    key = F.col("o_orderkey")
     lat = F.when(key % 4 == 0, F.lit("48.5")).when(key % 4 == 1, F.lit('"48.5"')).otherwise("null")
     city = F.when(key % 6 == 0, "").otherwise(F.concat(F.lit("Nation_"), F.col("o_custkey") % 30))
-    lines = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*fx.K5))).alias("lines"))
+    # What events share is put together once per order, what a line item brings before lines are grouped.
+    place = _json_text(
+        "~,~eventVenue~:~Hall ", key % 5, "~,~eventStreet~:~~,~eventZip~:~", key % 100, "~,~eventCity~:~", city,
+        "~,~eventLink~:~~,~venueLatitude~:", lat, ",~venueLongitude~:9.25,~minPrice~:",
+    )
+    orders = fx.table(spark, sf_dir, "orders").select("o_orderkey", place.alias("place"))
+    line = F.col("l_orderkey")
+    when = F.when(line % 13 == 0, "soon").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd'T'19:30:00'+01:00'"))
+    price = F.when(line % 2 == 0, F.col("l_extendedprice").cast("string")).otherwise('"1"')
+    lines = fx.table(spark, sf_dir, "lineitem").select(line, F.struct(*fx.K5, when.alias("starts"), price.alias("price")).alias("line"))
+    lines = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
     def event(row, number):
-        when = F.when(key % 13 == 0, "soon").otherwise(F.date_format(row["l_shipdate"], "yyyy-MM-dd'T'19:30:00'+01:00'"))
         return _json_text(
             "{~eventName~:~", F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("Event "), number, F.lit(" of "), key)),
-            "~,~eventDateIso8601~:~", when, "~,~eventVenue~:~Hall ", key % 5, "~,~eventStreet~:~~,~eventZip~:~", key % 100,
-            "~,~eventCity~:~", city, "~,~eventLink~:~~,~venueLatitude~:", lat, ",~venueLongitude~:9.25,~minPrice~:",
-            F.when(key % 2 == 0, row["l_extendedprice"].cast("string")).otherwise('"1"'), ",~maxPrice~:", number.cast("string"), "}",
+            "~,~eventDateIso8601~:~", row["starts"], F.col("place"), row["price"], ",~maxPrice~:", number.cast("string"), "}",
         )
 
     events = F.concat(F.lit("["), F.concat_ws(",", F.transform("lines", event)), F.lit("]"))
@@ -48,7 +55,6 @@ def _feed(spark, sf_dir):
         F.when(F.col("lines").isNull(), "null").otherwise(events), "}]}",
     )
     path = shared_dir(spark, "feed")
-    orders = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     series = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     fx.spread(series, "o_orderkey").select(document.alias("value")).write.option("compression", "gzip").text(path)
     documents = read_feed(spark, path, multi_line=False).withColumn(
