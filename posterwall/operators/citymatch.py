@@ -1,16 +1,19 @@
 """Resolve free text to a city of the dimension by substring, first city in order wins.
 
-A city matches when one of its tokens contains the text or the text contains the token. Both are
-equality joins with at most one partner per key, so no pair of text and city is formed that does
-not match, whatever the names have in common:
+A city matches when one of its tokens contains the text or the text contains the token. Candidates
+share a gram of GRAM letters, and `contains` decides:
 
-- text contains token: the substrings of the text that are as long as some token, joined with the
-  distinct tokens;
-- token contains text: the text itself, joined with the distinct substrings of all tokens, each
-  with the first city that has it.
+- text contains token: each token stands under its rarest gram (a token of at most GRAM letters
+  under itself), and a text looks up all its grams;
+- token contains text: a text looks up its rarest gram among the grams of all tokens, and is in no
+  token if one of its grams is in none. A text of at most GRAM letters is a gram itself, for which the
+  first city is known.
 
-Only distinct texts are matched. They stay partitioned by text through the explode and the
-broadcast join, so that the minimum per text needs no second shuffle.
+So the index grows with the letters of the names and the plan does not depend on their lengths. A part
+that all names have in common makes candidates only of texts that consist of nothing rarer.
+
+Only distinct texts are matched; the words of an address are matched once, however many addresses
+hold them.
 """
 
 from dataclasses import dataclass
@@ -20,9 +23,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from posterwall.functions.text import _col, city_tokens, clean_address, normalize
 from posterwall.session import BROADCAST_MAX_CHARS, BROADCAST_MAX_ROWS, broadcast_if_small, materialize
 
-# Tokens above this length are not cut into all their substrings; see _inside_long_tokens.
-LONG_TOKEN = 64
-HEAD = 3
+GRAM = 3
+# Shorter words and parts of an address count only if they equal a token.
+FREE_LENGTH = 4
 
 _CITY = ("_id", "country_id", "name", "coordinates", "city_ord")
 
@@ -31,10 +34,36 @@ _CITY = ("_id", "country_id", "name", "coordinates", "city_ord")
 class CityIndex:
     """Join tables of the dimension. Their sizes are known before anything is broadcast."""
 
-    tokens: DataFrame  # token, city_ord
-    substrings: DataFrame  # text, city_ord, long_ord (first city with a token of four or more)
-    lengths: list[int]  # token lengths that occur; bounded by the longest name
-    has_long: bool
+    tokens: DataFrame  # key (the token's rarest gram), token, city_ord
+    grams: DataFrame  # key, held (tokens with it), city_ord, long_ord (first city with a token of four or more)
+    postings: DataFrame  # key, token, city_ord of every gram of full length
+
+
+def _cuts(text, size: int) -> Column:
+    """The substrings of the given size; empty if the text is shorter."""
+    text = _col(text)
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1))
+    cuts = F.transform(starts, lambda start: F.substring(text, start, F.lit(size)))
+    return F.coalesce(cuts, F.array().cast("array<string>"))
+
+
+def _all_cuts(text) -> Column:
+    """The distinct substrings of at most GRAM letters."""
+    return F.array_distinct(F.concat(*[_cuts(text, n) for n in range(1, GRAM + 1)]))
+
+
+def _rarest(rows: DataFrame, text: str, grams: DataFrame, *keep: str) -> DataFrame:
+    """keep, text and key, the gram of the text that the fewest tokens have, of each text whose grams are all known.
+
+    Places and counts are states of fixed width, so that no aggregate has to sort.
+    """
+    each = rows.select(*keep, text, F.posexplode(_cuts(text, GRAM)).alias("place", "key"))
+    known = each.join(grams.select("key", "held"), "key", "left")
+    least = known.groupBy(*keep, text).agg(
+        F.min_by("place", "held").alias("place"), F.count(F.when(F.col("held").isNull(), 1)).alias("unknown")
+    )
+    key = F.substring(F.col(text), F.col("place") + 1, F.lit(GRAM)).alias("key")
+    return least.where("unknown = 0").select(*keep, text, key)
 
 
 def build_index(cities: DataFrame) -> CityIndex:
@@ -43,86 +72,54 @@ def build_index(cities: DataFrame) -> CityIndex:
         .groupBy("token")
         .agg(F.min("city_ord").alias("city_ord"))
     )
-    size = F.when(F.length("token") <= LONG_TOKEN, F.length("token").cast("bigint")).otherwise(0)
+    tokens = materialize(tokens, "tokens")
+    size = F.length("token").cast("bigint")
     measured = tokens.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.length("token")).alias("chars"),
-        F.sum(size * (size + 1) / 2).alias("cuts"),
-        F.sum(size * (size + 1) * (size + 2) / 6).alias("cut_chars"),
-        F.collect_set(F.length("token")).alias("lengths"),
+        F.count(F.lit(1)).alias("n"), F.sum(size).alias("chars"), F.sum(size * (size + GRAM)).alias("posted")
     ).first()
 
-    cut = F.substring(F.col("token"), F.col("start"), F.col("size"))
-    starts = F.explode(F.sequence(F.lit(1), F.length("token"))).alias("start")
-    substrings = (
-        tokens.where(F.length("token") <= LONG_TOKEN)
-        .select("token", "city_ord", starts)
-        .select("*", F.explode(F.sequence(F.lit(1), F.length("token") - F.col("start") + 1)).alias("size"))
-        .groupBy(cut.alias("text"))
-        .agg(
-            F.min("city_ord").alias("city_ord"),
-            F.min(F.when(F.length("token") >= 4, F.col("city_ord"))).alias("long_ord"),
-        )
-    )
-
     def bounded(df: DataFrame, rows, chars) -> DataFrame:
         small = (rows or 0) <= BROADCAST_MAX_ROWS and (chars or 0) <= BROADCAST_MAX_CHARS
         return F.broadcast(df) if small else df
 
-    lengths = sorted(measured["lengths"])
+    n, chars = measured["n"], measured["chars"] or 0
+    grams = tokens.select("token", "city_ord", F.explode(_all_cuts("token")).alias("key")).groupBy("key").agg(
+        F.count(F.lit(1)).alias("held"),
+        F.min("city_ord").alias("city_ord"),
+        F.min(F.when(F.length("token") >= FREE_LENGTH, F.col("city_ord"))).alias("long_ord"),
+    )
+    grams = bounded(materialize(grams, "grams"), GRAM * chars, GRAM * GRAM * chars)
+    rare = _rarest(tokens.where(F.length("token") > GRAM), "token", grams, "city_ord")
+    short = tokens.where(F.length("token") <= GRAM).withColumn("key", F.col("token"))
+    postings = tokens.select("token", "city_ord", F.explode(F.array_distinct(_cuts("token", GRAM))).alias("key"))
     return CityIndex(
-        bounded(tokens, measured["n"], measured["chars"]),
-        bounded(substrings, measured["cuts"], measured["cut_chars"]),
-        lengths,
-        bool(lengths) and lengths[-1] > LONG_TOKEN,
+        bounded(materialize(rare.unionByName(short), "rare"), n, chars + GRAM * n),
+        grams,
+        bounded(postings, chars, measured["posted"]),
     )
 
 
-def _cuts(text: Column, size: int) -> Column:
-    """The substrings of the given size; empty if the text is shorter."""
-    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1))
-    cuts = F.transform(starts, lambda start: F.substring(text, start, F.lit(size)))
-    return F.coalesce(cuts, F.array().cast("array<string>"))
-
-
-def _holding_tokens(texts: DataFrame, index: CityIndex) -> DataFrame:
-    """texts(text, ...) with each token inside the text and the token's first city."""
-    none = F.array().cast("array<string>")
-    cuts = F.concat(none, *[_cuts(F.col("text"), n) for n in index.lengths])
-    return texts.withColumn("token", F.explode(F.array_distinct(cuts))).join(index.tokens, "token")
-
-
-def _inside_tokens(texts: DataFrame, index: CityIndex) -> DataFrame:
-    """texts(text, ...) that are inside a token, with city_ord and long_ord."""
-    found = texts.join(index.substrings, "text")
-    if index.has_long:
-        found = found.unionByName(_inside_long_tokens(texts, index))
-    return found
-
-
-def _inside_long_tokens(texts: DataFrame, index: CityIndex) -> DataFrame:
-    """The same for tokens of unusual length: candidates share the head of the text."""
-    token = F.col("token")
-    heads = F.concat(*[_cuts(token, n) for n in range(1, HEAD + 1)])
-    long_tokens = index.tokens.where(F.length(token) > LONG_TOKEN).select(
-        "token", "city_ord", F.explode(F.array_distinct(heads)).alias("head")
-    )
-    return (
-        texts.withColumn("head", F.left("text", F.lit(HEAD)))
-        .join(long_tokens, "head")
-        .where(token.contains(F.col("text")))
-        .withColumn("long_ord", F.when(F.length(token) >= 4, F.col("city_ord")))
-        .drop("head", "token")
-    )
+def match_texts(texts: DataFrame, index: CityIndex) -> DataFrame:
+    """text, and the first city that it touches by any token (city_ord), by a token of four letters or
+    more (long_ord), and by a token equal to it (exact_ord), of the distinct texts(text) that touch one."""
+    text, token, city = F.col("text"), F.col("token"), F.col("city_ord")
+    orders = [
+        "text", "city_ord", F.when(F.length(token) >= FREE_LENGTH, city).alias("long_ord"),
+        F.when(token == text, city).alias("exact_ord"),
+    ]
+    holding = texts.select("text", F.explode(_all_cuts("text")).alias("key")).join(index.tokens, "key").where(text.contains(token))
+    rare = _rarest(texts.where(F.length(text) > GRAM), "text", index.grams)
+    inside = rare.join(index.postings, "key").where(token.contains(text))
+    short = texts.where(F.length(text) <= GRAM).join(index.grams, text == F.col("key"))
+    short = short.select("text", "city_ord", "long_ord", F.lit(None).cast("bigint").alias("exact_ord"))
+    hits = holding.select(*orders).unionByName(inside.select(*orders)).unionByName(short)
+    return hits.groupBy("text").agg(*(F.min(c).alias(c) for c in ("city_ord", "long_ord", "exact_ord")))
 
 
 def match_simple(targets: DataFrame, index: CityIndex) -> DataFrame:
     """(target, city_ord) of the first city with any token inside or around the target."""
-    texts = targets.withColumn("text", F.col("target"))
-    hits = _holding_tokens(texts, index).select("target", "city_ord").unionByName(
-        _inside_tokens(texts, index).select("target", "city_ord")
-    )
-    return hits.groupBy("target").agg(F.min("city_ord").alias("city_ord"))
+    found = match_texts(targets.select(F.col("target").alias("text")), index)
+    return found.select(F.col("text").alias("target"), "city_ord")
 
 
 def address_probes(target) -> Column:
@@ -159,19 +156,13 @@ def match_address(targets: DataFrame, index: CityIndex) -> DataFrame:
     a token and a pair of words always count.
     """
     probes = targets.select("target", F.posexplode(address_probes("target")).alias("rank", "probe"))
-    probes = probes.select("target", "rank", F.col("probe.kind"), F.col("probe.text"))
-    free = (F.col("kind") == "pair") | (F.length("text") >= 4)
-    exact_word = (F.col("kind") == "word") & (F.col("text") == F.col("token"))
-    holding = _holding_tokens(probes, index).where(free | exact_word | (F.length("token") >= 4))
-    inside = _inside_tokens(probes, index).withColumn(
-        "city_ord", F.when(free, F.col("city_ord")).otherwise(F.col("long_ord"))
-    )
-    hits = holding.select("target", "rank", "city_ord").unionByName(
-        inside.where(F.col("city_ord").isNotNull()).select("target", "rank", "city_ord")
-    )
-    # Two hash aggregates with states of fixed width; a minimum of structs would sort the hits.
-    by_rank = hits.groupBy("target", "rank").agg(F.min("city_ord").alias("city_ord"))
-    return by_rank.groupBy("target").agg(F.min_by("city_ord", "rank").alias("city_ord"))
+    probes = probes.select("target", "rank", F.col("probe.kind"), F.col("probe.text")).where("text <> ''")
+    found = materialize(match_texts(probes.select("text").distinct(), index), "texts")
+    free = (F.col("kind") == "pair") | (F.length("text") >= FREE_LENGTH)
+    exact_word = F.when(F.col("kind") == "word", F.col("exact_ord"))
+    first = F.when(free, F.col("city_ord")).otherwise(F.least("long_ord", exact_word))
+    hits = probes.join(broadcast_if_small(found, F.length("text")), "text").select("target", "rank", first.alias("city_ord"))
+    return hits.where("city_ord is not null").groupBy("target").agg(F.min_by("city_ord", "rank").alias("city_ord"))
 
 
 def _attach(df: DataFrame, cities: DataFrame, target: Column, match, out: str) -> DataFrame:

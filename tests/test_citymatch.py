@@ -70,10 +70,10 @@ def _resolved(spark, names, targets, resolve):
     return {r["t"]: None if r["_id"] is None else int(r["_id"]) for r in rows}
 
 
-@pytest.mark.parametrize("long_token", [64, 2])
+@pytest.mark.parametrize("gram", [3, 1])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_random_against_search(spark, monkeypatch, seed, long_token):
-    monkeypatch.setattr(cm, "LONG_TOKEN", long_token)
+def test_random_against_search(spark, monkeypatch, seed, gram):
+    monkeypatch.setattr(cm, "GRAM", gram)
     names, targets = _random_inputs(seed, 12, 400)
     got = _resolved(spark, names, targets, cm.resolve_city)
     assert got == {t: brute_simple(t, names) for t in targets}
@@ -110,3 +110,31 @@ def test_hot_target_and_rows_are_kept(spark):
     df = spark.createDataFrame([("Berlin",)] * 300 + [(None,)] * 20 + [("Rio",)] * 5, "t string")
     rows = cm.resolve_city(df, _cities(spark, NAMES), "t").groupBy("t", "city._id").count().collect()
     assert {(r[0], r[1], r[2]) for r in rows} == {("Berlin", "0", 300), (None, None, 20), ("Rio", "3", 5)}
+
+
+def test_long_names_with_a_common_head(spark):
+    head = "княжество " + "очень длинное название " * 8
+    names = [f"{head}{i:04d}" for i in range(600)] + ["Рио"]
+    targets = [f"{head}{i:04d}" for i in range(0, 600, 7)] + [head[:90], head[40:120], f"{head}9999", "0599", "599", "0 рио 599", "жество", "я", "q", ""]
+    got = _resolved(spark, names, targets, cm.resolve_city)
+    assert got == {t: brute_simple(" ".join(t.split()), names) if t.strip() else None for t in targets}
+    texts = spark.createDataFrame([(f"{' '.join(head.split())} {i:04d}",) for i in range(0, 600, 7)], "text string")
+    index = cm.build_index(_cities(spark, names))
+    # Candidates of a text share its rarest gram, not the head that all names have in common.
+    candidates = cm._rarest(texts, "text", index.grams).join(index.postings, "key").count()
+    assert candidates < 12 * texts.count()
+
+
+def test_plan_does_not_grow_with_names(spark):
+    sizes = []
+    for longest in (5, 400):
+        names = ["x" * n + str(n) for n in range(1, longest, 3)]
+        index = cm.build_index(_cities(spark, names))
+        plan = cm.match_texts(spark.createDataFrame([("x",)], "text string"), index)._jdf.queryExecution().analyzed().toString()
+        sizes.append(len(plan.splitlines()))
+    assert sizes[0] == sizes[1]
+
+
+def test_no_cities(spark):
+    assert _resolved(spark, [], ["Rio", "x"], cm.resolve_city) == {"Rio": None, "x": None}
+    assert _resolved(spark, [], ["Rio, x"], cm.resolve_city_of_address) == {"Rio, x": None}
