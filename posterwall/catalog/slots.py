@@ -7,13 +7,14 @@ from posterwall.catalog.registry import query
 from posterwall.catalog.texts import holding_sql
 from posterwall.constants import LISTING_HOST, SOURCE_SCHEDULE
 from posterwall.operators.filters import choose_cities, is_sold_out, split_rejects
-from posterwall.operators.grouping import group_slots
+from posterwall.operators.grouping import event_states, group_slots
 from posterwall.operators.numbering import assign_batches, number_rows
 from posterwall.operators.series import group_series_rows
 from posterwall.operators.stats import city_scrape_stats
 from posterwall.plans.common import RunParameters
-from posterwall.plans.schedule import SLOT_KEEP, resolve_slots, slots_to_events
-from posterwall.session import materialize
+from posterwall.plans.schedule import EVENT_KEEP, SLOT_KEEP, grouped_slots, merged_to_events, resolve_slots, slots_to_events
+from posterwall.session import materialize, shared_dir
+from posterwall.sinks.merging import MergeTable
 
 PARAMS = RunParameters(run_id="run-1", admin_id="admin-1")
 
@@ -81,17 +82,32 @@ _MERGED_COLUMNS = f"""name, description, address, city_id, country_id, website,
   '{SOURCE_SCHEDULE}' AS source, 'run-1' AS "operationId\""""
 
 
-@query(
-    "merge_duplicate_events",
-    f"""WITH {_MERGED} SELECT {_MERGED_COLUMNS}
+_MERGED_SQL = f"""WITH {_MERGED} SELECT {_MERGED_COLUMNS}
         FROM merged JOIN h ON h.title = name AND h.address = merged.address AND h.city_id = merged.city_id""".replace(
-        "address, city_id, country_id, website", "merged.address, merged.city_id, country_id, website"
-    ),
+    "address, city_id, country_id, website", "merged.address, merged.city_id, country_id, website"
 )
+
+
+@query("merge_duplicate_events", _MERGED_SQL)
 def merge_duplicate_events(spark, sf_dir):
     return flat_events(merged_events(spark, sf_dir))
 
 
+@query("merge_events_in_batches", _MERGED_SQL)
+def merge_events_in_batches(spark, sf_dir):
+    """The same events from three batches of tours, one of them repeated, compacted in between."""
+    slots, _ = _open_slots(spark, sf_dir, fx.cities(spark, sf_dir))
+    groups = materialize(grouped_slots(slots).withColumn("batch", F.pmod(F.xxhash64("tour"), F.lit(3))), "groups")
+    states = [event_states(groups.where(F.col("batch") == i), F.col("ord"), EVENT_KEEP) for i in range(3)]
+    table = MergeTable(shared_dir(spark, "merging"), states[0].schema)
+    table.add_batch(states[2], 2)
+    table.add_batch(states[0], 0)
+    table.compact(spark)
+    table.add_batch(states[0], 0)
+    table.add_batch(states[1], 1)
+    return flat_events(merged_to_events(table.merged(spark), PARAMS))
+
+
 @query(
     "staged_schedule_events",
     f"""WITH {_MERGED}, numbered AS (SELECT *, row_number() OVER (ORDER BY ord) AS seq FROM merged)

@@ -36,29 +36,68 @@ def first_filled(*cs) -> Column:
     return F.coalesce(*[falsy_to_null(c) for c in cs])
 
 
+_MARKS = range(0x0300, 0x0370)
+# Syllables of Hangul are made of a lead, a vowel and maybe a tail: 19 x 21 x 28 of them.
+_SYLLABLES = range(0xAC00, 0xAC00 + 19 * 21 * 28)
+
+
 @lru_cache(maxsize=1)
-def _accent_table() -> tuple[str, str]:
-    """translate() arguments: letters whose decomposition is one base letter plus marks from
-    U+0300..U+036F map to the base letter, the marks themselves map to nothing."""
-    marks = range(0x0300, 0x0370)
-    letters, bases = [], []
-    for code in range(0x00C0, 0xFFFF):
+def _decompositions() -> tuple[str, str, str, str]:
+    """What canonical decomposition makes of letters, without the marks U+0300..U+036F.
+
+    Arguments of translate() for letters that become one letter, the marks becoming nothing; then
+    the letters that become several, and these, each after a line break. Hangul follows a rule instead.
+    """
+    letters, bases, compounds, parts = [], [], [], []
+    for code in range(0x00C0, 0x30000):
         char = chr(code)
-        if code in marks or not unicodedata.decomposition(char):
+        if code in _MARKS or code in _SYLLABLES or not unicodedata.decomposition(char):
             continue
-        base = [x for x in unicodedata.normalize("NFD", char) if ord(x) not in marks]
-        if len(base) == 1 and base[0] != char:
+        base = "".join(x for x in unicodedata.normalize("NFD", char) if ord(x) not in _MARKS)
+        if len(base) > 1:
+            compounds.append(char)
+            parts.append(base)
+        elif base and base != char:
             letters.append(char)
-            bases.append(base[0])
-    return "".join(letters) + "".join(map(chr, marks)), "".join(bases)
+            bases.append(base)
+    return "".join(letters) + "".join(map(chr, _MARKS)), "".join(bases), "".join(compounds), "\n".join(parts)
+
+
+def _syllable_parts(char: Column) -> Column:
+    """Lead, vowel and tail of a syllable of Hangul, NULL for other characters."""
+    at = F.ascii(char) - _SYLLABLES.start
+
+    def jamo(first: int, n: int, place: Column) -> Column:
+        return F.substring(F.lit("".join(chr(first + i) for i in range(n))), place.cast("int"), F.lit(1))
+
+    tail = F.when(at % 28 > 0, jamo(0x11A8, 27, at % 28)).otherwise("")
+    parts = F.concat(jamo(0x1100, 19, F.floor(at / 588) + 1), jamo(0x1161, 21, F.floor(at % 588 / 28) + 1), tail)
+    return F.when((at >= 0) & (at < len(_SYLLABLES)), parts)
+
+
+def _decompose_compounds(text: Column) -> Column:
+    """text with its syllables of Hangul, kana with voice marks and the like taken apart."""
+    _, _, compounds, parts = _decompositions()
+    listed = F.split(F.lit(parts), "\n")
+
+    def apart(char: Column) -> Column:
+        place = F.instr(F.lit(compounds), char)
+        return F.when(place > 0, F.get(listed, place - 1)).otherwise(F.coalesce(_syllable_parts(char), char))
+
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    some = f"[{compounds}{chr(_SYLLABLES.start)}-{chr(_SYLLABLES.stop - 1)}]"
+    return F.when(text.rlike(some), F.array_join(F.transform(chars, apart), "")).otherwise(text)
 
 
 def normalize(c) -> Column:
-    """Lower case without accents, white space collapsed and trimmed."""
-    source, target = _accent_table()
+    """Lower case without accents, white space collapsed and trimmed.
+
+    Letters are decomposed one by one; marks outside U+0300..U+036F stay where they are.
+    """
+    source, target, _, _ = _decompositions()
     low = F.lower(F.coalesce(_col(c), F.lit("")))
     is_ascii = F.octet_length(low) == F.length(low)
-    return F.trim(ws_collapse(F.when(is_ascii, low).otherwise(F.translate(low, source, target))))
+    return F.trim(ws_collapse(F.when(is_ascii, low).otherwise(F.translate(_decompose_compounds(low), source, target))))
 
 
 def city_tokens(name) -> Column:

@@ -33,17 +33,40 @@ def group_slots(slots: DataFrame, order: Column, keep, tour: str = "tour") -> Da
     )
 
 
-def merge_duplicates(
-    events: DataFrame, order: Column, keep, chronological: bool = False, genitive: bool = False
-) -> DataFrame:
-    """One event per trimmed name, trimmed address and city; the first event supplies the rest.
+_KEY = ("_name", "_address", "_city")
+_BOUNDS = ("date_start", "date_end", "min_price", "max_price")
+
+
+def _combined(by_day: DataFrame) -> DataFrame:
+    """One state per key of by_day(_KEY, _row, _ord, _BOUNDS, _i, _day), which has a row per day.
+
+    Only the first row of an event carries _row and _ord, so that the extra rows are narrow and the
+    set of days stays the only collected state.
+    """
+    leading = F.coalesce("_i", F.lit(0)) == 0
+    return (
+        by_day.withColumn("_row", F.when(leading, F.col("_row")))
+        .withColumn("_ord", F.when(leading, F.col("_ord")))
+        .groupBy(*_KEY)
+        .agg(
+            F.min_by("_row", "_ord").alias("_first"),
+            F.min("_ord").alias("ord"),
+            F.sort_array(F.collect_set("_day")).alias("days"),
+            F.min("date_start").alias("date_start"),
+            F.max("date_end").alias("date_end"),
+            F.least(F.min("min_price"), F.min("max_price")).alias("min_price"),
+            F.greatest(F.max("min_price"), F.max("max_price")).alias("max_price"),
+        )
+    )
+
+
+def event_states(events: DataFrame, order: Column, keep) -> DataFrame:
+    """A mergeable state per trimmed name, trimmed address and city: first row, bounds, set of days.
 
     events has name, address, city_id, days (NULL means the day of date_start), date_start,
-    date_end and the price bounds. Days and prices are united, the holding text is rebuilt.
+    date_end and the price bounds.
     """
     single_day = F.filter(F.array(F.to_date("date_start")), lambda d: d.isNotNull())
-    # One row per day; only the first one of an event carries the rest, so that the extra rows
-    # are narrow and the set of days stays the only collected state.
     by_day = events.select(
         ws_trim("name").alias("_name"),
         ws_trim("address").alias("_address"),
@@ -56,23 +79,26 @@ def merge_duplicates(
         "max_price",
         F.posexplode_outer(F.coalesce("days", single_day)).alias("_i", "_day"),
     )
-    leading = F.coalesce("_i", F.lit(0)) == 0
-    merged = (
-        by_day.withColumn("_row", F.when(leading, F.col("_row")))
-        .withColumn("_ord", F.when(leading, F.col("_ord")))
-        .groupBy("_name", "_address", "_city")
-        .agg(
-            F.min_by("_row", "_ord").alias("_first"),
-            F.min("_ord").alias("ord"),
-            F.sort_array(F.collect_set("_day")).alias("days"),
-            F.min("date_start").alias("date_start"),
-            F.max("date_end").alias("date_end"),
-            F.least(F.min("min_price"), F.min("max_price")).alias("min_price"),
-            F.greatest(F.max("min_price"), F.max("max_price")).alias("max_price"),
-        )
-    )
+    return _combined(by_day)
+
+
+def combine_states(states: DataFrame) -> DataFrame:
+    """One state per key of states that may share keys; the same however they were cut into states."""
+    days = F.posexplode_outer("days").alias("_i", "_day")
+    return _combined(states.select(*_KEY, F.col("_first").alias("_row"), F.col("ord").alias("_ord"), *_BOUNDS, days))
+
+
+def finish_states(states: DataFrame, chronological: bool = False, genitive: bool = False) -> DataFrame:
+    """The events of the states, which have one row per key, with the holding text of their days."""
     holding = format_holding_date("days", False, chronological, genitive)
-    return merged.select(
-        "_first.*", "ord", "days", holding.alias("holding_date"),
-        "date_start", "date_end", "min_price", "max_price",
-    )
+    return states.select("_first.*", "ord", "days", holding.alias("holding_date"), *_BOUNDS)
+
+
+def merge_duplicates(
+    events: DataFrame, order: Column, keep, chronological: bool = False, genitive: bool = False
+) -> DataFrame:
+    """One event per trimmed name, trimmed address and city; the first event supplies the rest.
+
+    Days and prices are united, the holding text is rebuilt; events are as in `event_states`.
+    """
+    return finish_states(event_states(events, order, keep), chronological, genitive)

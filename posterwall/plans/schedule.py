@@ -17,6 +17,7 @@ from posterwall.sources.html import read_schedule_slots, read_tour_cards, rows_o
 from posterwall.sources.tables import parsed_pages
 
 SLOT_KEEP = ("city_id", "country_id", "coordinates", "description", "photo_url", "tour_url")
+EVENT_KEEP = tuple(c for c in SLOT_KEEP if c != "city_id")
 
 
 def schedule_cards(cities: DataFrame, city_pages: DataFrame) -> DataFrame:
@@ -79,9 +80,17 @@ def slots_to_events(slots: DataFrame, params: RunParameters) -> DataFrame:
 
     slots has tour, title, address, start, price, SLOT_KEEP and page_city_ord, card_pos, slot_pos.
     """
+    return merged_to_events(merge_duplicates(grouped_slots(slots), F.col("ord"), EVENT_KEEP), params)
+
+
+def grouped_slots(slots: DataFrame) -> DataFrame:
+    """The slots of each tour in groups, as events to be merged."""
     order = F.struct("page_city_ord", "card_pos", "slot_pos")
-    groups = group_slots(slots, order, SLOT_KEEP).withColumnRenamed("title", "name")
-    merged = merge_duplicates(groups, F.col("ord"), [c for c in SLOT_KEEP if c != "city_id"])
+    return group_slots(slots, order, SLOT_KEEP).withColumnRenamed("title", "name")
+
+
+def merged_to_events(merged: DataFrame, params: RunParameters) -> DataFrame:
+    """Merged groups in the shape of events."""
     none = F.lit(None).cast("double")
     point = pick_coordinates(none, none, coordinates_from_struct("coordinates"))
     shaped = merged.withColumn("point", point).withColumns(

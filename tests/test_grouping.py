@@ -7,7 +7,8 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from posterwall.operators import numbering
-from posterwall.operators.grouping import group_slots, merge_duplicates
+from posterwall.operators.grouping import event_states, group_slots, merge_duplicates
+from posterwall.sinks.merging import MergeTable
 
 T = dt.datetime
 SLOT = "tour int, ord int, title string, address string, start timestamp, price double, city string"
@@ -77,6 +78,45 @@ def test_merge_is_idempotent_and_keeps_every_key(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
 
 
+def test_merging_in_batches_equals_merging_at_once(spark, tmp_path):
+    day = lambda i: dt.date(2025, 1 + i % 3, 1 + i % 9)
+    rows = [
+        (i, f"n{i % 4} ", "a", None if i % 7 == 0 else str(i % 2), None if i % 5 == 0 else [day(i), day(i + 1)] if i % 5 > 1 else [],
+         None if i % 11 == 0 else T(2025, 1, 1 + i % 9), T(2025, 2, 1 + i % 9), None if i % 3 == 0 else float(i), float(i % 6), f"s{i}")
+        for i in range(120)
+    ]
+    whole = events(spark, rows)
+    want = sorted(map(repr, merge_duplicates(whole, F.col("ord"), ["site"]).collect()))
+    part = lambda i: event_states(whole.where(F.col("ord") % 3 == i), F.col("ord"), ["site"])
+    table = MergeTable(str(tmp_path / "merging"), part(0).schema)
+    assert table.merged(spark).count() == 0
+    table.compact(spark)
+    assert table.add_batch(part(2), 2) and table.add_batch(part(1), 1)
+    assert not table.add_batch(part(1), 1)
+    table.compact(spark)
+    # A batch repeated after a failure, here even one that is compacted already, changes nothing.
+    assert table.add_batch(part(1), 1) and table.add_batch(part(0), 0)
+    assert sorted(map(repr, table.merged(spark).collect())) == want
+    table.compact(spark)
+    assert sorted(map(repr, table.merged(spark).collect())) == want
+    assert not list((tmp_path / "merging" / "batches").glob("b*"))
+
+
+def test_crash_before_publishing_leaves_no_part_of_a_batch(spark, tmp_path, monkeypatch):
+    states = event_states(events(spark, [(1, "A", "x", "1", None, T(2025, 1, 1), None, 1.0, 1.0, "s")]), F.col("ord"), ["site"])
+    table = MergeTable(str(tmp_path / "merging"), states.schema)
+
+    def crash(*_):
+        raise RuntimeError("crash")
+
+    with monkeypatch.context() as patch:
+        patch.setattr("posterwall.versions.rename", crash)
+        with pytest.raises(RuntimeError):
+            table.add_batch(states, 1)
+    assert table.merged(spark).count() == 0
+    assert table.add_batch(states, 1) and table.merged(spark).count() == 1
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=120), st.integers(0, 40))
 def test_numbering_in_slices_equals_window(spark, groups, limit):

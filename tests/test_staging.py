@@ -40,7 +40,7 @@ def test_crash_before_the_rename_leaves_the_old_table(spark, tmp_path, monkeypat
     path = str(tmp_path / "t")
     tables.replace_table(spark.range(3), path)
     with monkeypatch.context() as patched:
-        patched.setattr(versions, "_rename", crash)
+        patched.setattr(versions, "rename", crash)
         with pytest.raises(Crash):
             tables.replace_table(spark.range(9), path)
     assert versions.read(spark, path, "id BIGINT").count() == 3
@@ -69,7 +69,7 @@ def test_sync_survives_a_crash(spark, tmp_path, monkeypatch):
     tables.sync_cities(spark, first, path)
     for replace_all in (False, True):
         with monkeypatch.context() as patched:
-            patched.setattr(versions, "_rename", crash)
+            patched.setattr(versions, "rename", crash)
             with pytest.raises(Crash):
                 tables.sync_cities(spark, second, path, replace_all)
         assert [r["_id"] for r in read_cities(spark, path).collect()] == ["1"]
@@ -129,7 +129,7 @@ def test_retention_tombstones_pages_and_compaction(spark, tmp_path, monkeypatch)
     done = [("a", "success", True, OLD), ("b", "success", True, OLD), ("open", "processing", False, None)]
     ops = spark.createDataFrame(done, "_id string, status string, is_processed boolean, finish_time timestamp")
     with monkeypatch.context() as patched:
-        patched.setattr(versions, "_rename", crash)
+        patched.setattr(versions, "rename", crash)
         with pytest.raises(Crash):
             tables.delete_expired(spark, path, ops, dt.datetime(2025, 2, 15), 30)
     assert tables.read_staged(spark, path).count() == 40

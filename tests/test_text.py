@@ -1,5 +1,7 @@
 """String, number and JSON columns on hand-computed rows."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +24,18 @@ def test_normalize(spark):
     assert twice == want
 
 
+def test_normalize_decomposes_all_code_points(spark):
+    skipped = lambda c: c.isspace() or c in "|\ufeff"
+    codes = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and not skipped(chr(c))]
+    blocks = ["|".join(codes[i : i + 512]) for i in range(0, len(codes), 512)]
+    bare = lambda char: "".join(x for x in unicodedata.normalize("NFD", char) if not "\u0300" <= x <= "\u036f")
+    # Letters are lowered by the JVM, whose version of Unicode may be another one.
+    want = ["|".join(map(bare, low.split("|"))) for low in column(spark, blocks, F.lower)]
+    got = column(spark, blocks, t.normalize)
+    assert [(x, y) for a, b in zip(got, want) for x, y in zip(a.split("|"), b.split("|")) if x != y] == []
+    assert column(spark, ["서울 각", "ガガ", "東京 ばか"], t.normalize) == [unicodedata.normalize("NFD", x) for x in ("서울 각", "ガガ", "東京 ばか")]
+
+
 def test_trim_collapse_address(spark):
     values = [f"{NBSP}a  b\u3000", "\n", None, "a\nb \t c"]
     assert column(spark, values, t.ws_trim) == ["a  b", "", None, "a\nb \t c"]
