@@ -63,6 +63,15 @@ def _decompositions() -> tuple[str, str, str, str]:
     return "".join(letters) + "".join(map(chr, _MARKS)), "".join(bases), "".join(compounds), "\n".join(parts)
 
 
+@lru_cache(maxsize=1)
+def _around(compounds: str, gap: int = 256) -> str:
+    """A pattern of a few ranges that hold all compounds and syllables, and some other letters."""
+    codes = sorted([*map(ord, compounds), *_SYLLABLES])
+    starts = [codes[0], *(b for a, b in zip(codes, codes[1:]) if b - a > gap)]
+    stops = [*(a for a, b in zip(codes, codes[1:]) if b - a > gap), codes[-1]]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, stops)) + "]"
+
+
 def _syllable_parts(char: Column) -> Column:
     """Lead, vowel and tail of a syllable of Hangul, NULL for other characters."""
     at = F.ascii(char) - _SYLLABLES.start
@@ -85,8 +94,7 @@ def _decompose_compounds(text: Column) -> Column:
         return F.when(place > 0, F.get(listed, place - 1)).otherwise(F.coalesce(_syllable_parts(char), char))
 
     chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    some = f"[{compounds}{chr(_SYLLABLES.start)}-{chr(_SYLLABLES.stop - 1)}]"
-    return F.when(text.rlike(some), F.array_join(F.transform(chars, apart), "")).otherwise(text)
+    return F.when(text.rlike(_around(compounds)), F.array_join(F.transform(chars, apart), "")).otherwise(text)
 
 
 def normalize(c) -> Column:

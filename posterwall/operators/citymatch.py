@@ -72,15 +72,15 @@ def build_index(cities: DataFrame) -> CityIndex:
         .groupBy("token")
         .agg(F.min("city_ord").alias("city_ord"))
     )
-    tokens = materialize(tokens, "tokens")
     size = F.length("token").cast("bigint")
     measured = tokens.agg(
         F.count(F.lit(1)).alias("n"), F.sum(size).alias("chars"), F.sum(size * (size + GRAM)).alias("posted")
     ).first()
 
     def bounded(df: DataFrame, rows, chars) -> DataFrame:
+        """Small tables are broadcast, others written, as they are read more than once."""
         small = (rows or 0) <= BROADCAST_MAX_ROWS and (chars or 0) <= BROADCAST_MAX_CHARS
-        return F.broadcast(df) if small else df
+        return F.broadcast(df) if small else materialize(df, "cities")
 
     n, chars = measured["n"], measured["chars"] or 0
     grams = tokens.select("token", "city_ord", F.explode(_all_cuts("token")).alias("key")).groupBy("key").agg(
@@ -88,12 +88,12 @@ def build_index(cities: DataFrame) -> CityIndex:
         F.min("city_ord").alias("city_ord"),
         F.min(F.when(F.length("token") >= FREE_LENGTH, F.col("city_ord"))).alias("long_ord"),
     )
-    grams = bounded(materialize(grams, "grams"), GRAM * chars, GRAM * GRAM * chars)
+    grams = bounded(grams, GRAM * chars, GRAM * GRAM * chars)
     rare = _rarest(tokens.where(F.length("token") > GRAM), "token", grams, "city_ord")
     short = tokens.where(F.length("token") <= GRAM).withColumn("key", F.col("token"))
     postings = tokens.select("token", "city_ord", F.explode(F.array_distinct(_cuts("token", GRAM))).alias("key"))
     return CityIndex(
-        bounded(materialize(rare.unionByName(short), "rare"), n, chars + GRAM * n),
+        bounded(rare.unionByName(short), n, chars + GRAM * n),
         grams,
         bounded(postings, chars, measured["posted"]),
     )
@@ -157,11 +157,11 @@ def match_address(targets: DataFrame, index: CityIndex) -> DataFrame:
     """
     probes = targets.select("target", F.posexplode(address_probes("target")).alias("rank", "probe"))
     probes = probes.select("target", "rank", F.col("probe.kind"), F.col("probe.text")).where("text <> ''")
-    found = materialize(match_texts(probes.select("text").distinct(), index), "texts")
+    found = match_texts(probes.select("text").distinct(), index)
     free = (F.col("kind") == "pair") | (F.length("text") >= FREE_LENGTH)
     exact_word = F.when(F.col("kind") == "word", F.col("exact_ord"))
     first = F.when(free, F.col("city_ord")).otherwise(F.least("long_ord", exact_word))
-    hits = probes.join(broadcast_if_small(found, F.length("text")), "text").select("target", "rank", first.alias("city_ord"))
+    hits = probes.join(found, "text").select("target", "rank", first.alias("city_ord"))
     return hits.where("city_ord is not null").groupBy("target").agg(F.min_by("city_ord", "rank").alias("city_ord"))
 
 
