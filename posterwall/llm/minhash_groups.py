@@ -15,16 +15,11 @@ lists use these, too. So a passage in very many documents forms no pairs, and a
 copies forms about one pair per document.
 
 Roots alone leave near copies apart that are put together from passages which are each frequent, as
-these resemble no central document of their lists. So long lists are split again by composite keys,
-as in an LSH forest: in each of TREES trees a document's key at a level is the path of its least retained
-values of long lists under one hash function after the other. Of a part, the documents of one key, only
-its components matter: each stands there by two documents, whatever its size, so a group of
-copies is a row or two. At the highest level where a part has at most LIST components all of them meet;
-a part that still has more at the last level meets the largest component.
-
-In one tree a pair that shares s of these values of both ends in one part with probability q / (q + 1 - s)
-at least, if q of them tell it from the rest of its lists; all trees miss it with that of the
-complement to the power of TREES: 0.000002 for s = 0.8 and q = 0.25, 0.03 for q = 0.05.
+these resemble no central document of their lists. So the documents that share more than HEAVY of their
+sketch with long lists are joined again exactly, by prefixes: the values of their full sets are put in one
+order, the rarest among them first. Two similar sets share a value of the first n - ceil(t * n) + 1 of
+each, whatever the order is. Each list of such values is met in full by its documents outside its largest
+component: no list, group or component is cut, and pairs that are connected already are not formed again.
 
 A pair of similarity t misses all INDEX values with probability (1 - t) ** INDEX. A pair at the limit
 whose sets are beyond the sketch falls below the margin with the tail of the binomial distribution
@@ -52,8 +47,6 @@ LIST = 16
 HEAVY = 0.35
 ROUNDS = 2
 ROOTS = 3
-TREES = 16
-LEVELS = (1, 2, 3, 4, 6, 8, 12)
 MARGIN = 7.0
 # Documents of the input for each file of a table in between, at least.
 ROWS_A_FILE = 2048
@@ -198,8 +191,7 @@ class _Search:
         # Long lists: those documents only that mostly consist of what very many share.
         size = F.least(F.col("n"), F.lit(SKETCH))
         mostly = heavy.join(weight.hint("merge"), "id").where(F.col("heavy") > HEAVY * size)
-        shared = mostly.groupBy("id").agg(F.first("n").alias("n"), F.collect_list("value").alias("shared"))
-        self.shared = self.kept(shared, "minhash-shared")
+        self.shared = self.kept(mostly.select("id").distinct(), "minhash-shared")
         rank = F.row_number().over(Window.partitionBy("id").orderBy("pos"))
         mostly = mostly.withColumn("rank", rank).where(F.col("rank") <= INDEX)
         mostly = self.kept(mostly.select("id", "n", "value", "heavy", "central"), "minhash-long")
@@ -221,31 +213,40 @@ class _Search:
         beyond = self.estimated(self._beyond(met.join(tested.hint("merge"), ["a", "b"]), linked))
         return linked.unionByName(self._similar(self.verified(rest.unionByName(beyond))))
 
-    def split_links(self, found: DataFrame, trees: range) -> DataFrame:
-        """Links between the components found(id, component), from long lists split by composite keys."""
-        label = F.coalesce("component", "id").alias("component")
-        docs = self.shared.join(found.hint("merge"), "id", "left").select("id", "n", label, "shared")
-        ends = [F.min("id").alias("lo"), F.min_by("n", "id").alias("nlo"), F.max("id").alias("hi"), F.max_by("n", "id").alias("nhi")]
-        groups = _paths(docs, trees).groupBy("level", "before", "key", "component").agg(F.count(F.lit(1)).alias("cnt"), *ends)
-        groups = self.kept(groups, "minhash-groups")
-        parts = groups.groupBy("level", "before", "key").agg(F.count(F.lit(1)).alias("several"), F.max_by("component", "cnt").alias("main"))
-        parts = self.kept(parts.where("several > 1"), "minhash-parts")
-        small = parts.where(F.col("several") <= LIST)
-        above = small.select((F.col("level") + 1).alias("level"), F.col("key").alias("before"))
-        first = small.join(above.hint("merge"), ["level", "before"], "left_anti").select("key")
-        stand = F.explode(F.array_distinct(F.array(F.struct(F.col("lo").alias("id"), F.col("nlo").alias("n")), F.struct(F.col("hi").alias("id"), F.col("nhi").alias("n")))))
-        members = groups.join(first.hint("merge"), "key", "left_semi").select("key", "component", stand.alias("d")).select("key", "component", "d.*")
-        members = self.kept(members, "minhash-members")
-        left, right = (members.select("key", F.col("component").alias(f"c{x}"), F.col("id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-        met = left.join(right.hint("merge"), "key").where((F.col("ca") < F.col("cb")) & self.sizes_fit(F.col("na"), F.col("nb")))
-        large = parts.where((F.col("several") > LIST) & (F.col("level") == len(LEVELS))).select("key", "main")
-        own = groups.join(large.hint("merge"), "key")
-        main = own.where("component = main").select("key", F.explode(F.array("lo", "hi")).alias("a"))
-        beside = own.where("component <> main").select("key", F.explode(F.array("lo", "hi")).alias("b")).join(main.hint("merge"), "key")
-        pairs = met.select("a", "b").unionByName(beside.select("a", "b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    def prefix_links(self, found: DataFrame) -> DataFrame:
+        """Links between the components found(id, component) among the documents of long lists, by prefixes of their full sets."""
+        prefixes = self.kept(self._prefixes(found), "minhash-prefixes")
+        parts = prefixes.groupBy("value", "component").agg(F.count(F.lit(1)).alias("cnt"))
+        several = parts.groupBy("value").agg(F.count(F.lit(1)).alias("several"), F.max_by("component", "cnt").alias("main"))
+        lists = prefixes.join(several.where("several > 1").select("value", "main").hint("merge"), "value")
+        left = lists.where("component <> main").select("value", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "n", "pos")])
+        right = lists.select("value", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "n", "pos")])
+        # Of the values both share the first one in the order is at places that leave enough for the rest.
+        rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+        fit = (100 + self.percent) * rest >= self.percent * (F.col("n_a") + F.col("n_b"))
+        met = left.join(right.hint("merge"), "value").where((F.col("component_a") != F.col("component_b")) & fit)
+        pairs = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
         return self._similar(self.verified(self.estimated(pairs)))
 
+    def _prefixes(self, found: DataFrame) -> DataFrame:
+        """id, component, n, value, pos of the prefixes of the sets of long lists, the rarest values first; values of one set are left out."""
+        sets = _full_sets(self.docs, self.shared.select("id"), self.width).withColumn("part", F.xxhash64("hashes"))
+        # An id may have several texts, and one text several times.
+        sets = sets.groupBy("id", "part").agg(F.any_value("hashes").alias("hashes"))
+        sets = sets.join(found.hint("merge"), "id", "left").select("id", "part", F.coalesce("component", "id").alias("component"), "hashes")
+        sets = self.kept(sets.withColumn("n", F.size("hashes").cast("long")), "minhash-sets")
+        values = sets.select("id", "part", "component", "n", F.explode("hashes").alias("value"))
+        counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
+        shared = values.join(counts.hint("merge"), "value").groupBy("id", "part").agg(
+            F.any_value("component").alias("component"), F.any_value("n").alias("n"), F.sort_array(F.collect_list(F.struct("cnt", "value"))).alias("shared")
+        )
+        # What one set has alone stands before all of these.
+        first = F.col("n") - F.size("shared")
+        length = F.floor((100 - self.percent) * F.col("n") / 100) + 1
+        prefix = F.slice("shared", F.lit(1), F.greatest(length - first, F.lit(0)).cast("int"))
+        at = shared.select("id", "component", "n", first.alias("first"), F.posexplode(prefix).alias("pos", "v"))
+        return at.select("id", "component", "n", F.col("v.value").alias("value"), (F.col("first") + F.col("pos")).alias("pos"))
+
     def _similar(self, sized: DataFrame) -> DataFrame:
         return sized.where(self.similar(F.col("inter"), F.col("na"), F.col("nb"))).select("a", "b")
 
@@ -260,7 +261,7 @@ class _Search:
 
         rooted(a: root, b, inter, na, nb). What both share within the root is at most the smaller
         of their overlaps with it; that must reach what sets of their sizes need. Pairs that share
-        too little with any one root are left to split_links.
+        too little with any one root are left to prefix_links.
         """
         need = self.percent / (100 + self.percent)
         ends = linked.withColumn("yes", F.lit(True))
@@ -281,38 +282,6 @@ class _Search:
         return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _paths(docs: DataFrame, trees: range) -> DataFrame:
-    """id, n, component, level, before, key of each tree and level for every row of docs(id, n, component, shared).
-
-    key is the path of the hash functions of a tree down to a level, before that of the level above.
-    """
-    kind, label = (docs.schema[c].dataType.simpleString() for c in ("id", "component"))
-    names = ["id", "n", "component", "level", "before", "key"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                shared = part.column(3)
-                values = shared.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
-                lengths = shared.value_lengths().to_numpy(zero_copy_only=False)
-                first = np.cumsum(lengths) - lengths
-                for tree in trees:
-                    key = np.full(len(lengths), mix(np.array([tree + 1], np.uint64))[0])
-                    before, level = key, 0
-                    for depth in range(LEVELS[-1]):
-                        salt = mix(np.array([(tree + 1) << 32 | (depth + 1)], np.uint64))[0]
-                        key = mix(key ^ mix(np.minimum.reduceat(mix(values ^ salt), first) + np.uint64(depth)))
-                        if depth + 1 == LEVELS[level]:
-                            level += 1
-                            columns = [*part.columns[:3], pa.array(np.full(len(key), level, np.int32)), pa.array(before.view(np.int64)), pa.array(key.view(np.int64))]
-                            yield pa.RecordBatch.from_arrays(columns, names=names)
-                            before = key
-
-    schema = f"id {kind}, n bigint, component {label}, level int, before bigint, key bigint"
-    return docs.select("id", "n", "component", "shared").mapInArrow(run, schema)
-
-
 def _rooted(leaders: DataFrame, members: DataFrame) -> DataFrame:
     """a, b: the ROOTS most central leaders of each list of values, and each member of the list."""
     order = Window.partitionBy("value").orderBy(F.desc("heavy"), F.desc("central"), "id")
@@ -353,7 +322,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     search = _Search(docs, width, percent)
     links = search.kept(search.links().unionByName(search.same_id()), "minhash-links")
     found = connected(links, search.files)
-    more = search.kept(search.split_links(found, range(TREES)), "minhash-links")
+    more = search.kept(search.prefix_links(found), "minhash-links")
     if not more.isEmpty():
         found = connected(links.unionByName(more), search.files)
     groups = search.classes.join(found.hint("merge"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))

@@ -116,6 +116,25 @@ def test_near_copies_of_frequent_passages_in_rare_pairs(spark):
     assert got == expected(rows, 5, 80) and sum(not r[3] for r in got) > 200
 
 
+def templates(seed, n, width):
+    """Pairs of near copies: one long passage is in all documents, two short frequent ones tell the pairs apart, the rest is new."""
+    rng = random.Random(seed)
+    words = lambda k: ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(k)]
+    long, short = words(342), [words(8 + width) for _ in range(32)]
+    texts = []
+    for i, j in rng.sample([(i, j) for i in range(32) for j in range(i)], n):
+        texts += [[*long, *short[i], *short[j], *words(24)] for _ in range(2)]
+    rng.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_near_copies_that_only_a_small_part_tells_from_all_others(spark):
+    rows = templates(5, 200, 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, minhash_groups.components(docs, 3, 85).collect()), key=repr)
+    assert got == expected(rows, 3, 85) and sum(not r[3] for r in got) >= 200
+
+
 def test_groups_of_edge_rows_and_none(edges, nothing):
     rows = [(r.doc_id, r.text) for r in edges.select("doc_id", "text").collect()]
     got = sorted(map(tuple, minhash_groups.components(edges, 3, 85).collect()), key=repr)
