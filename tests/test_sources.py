@@ -5,6 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from posterwall.catalog import fixtures, pages as page_queries
 from posterwall.operators.filters import classify_cards, is_sold_out
 from posterwall.operators.series import link_groups, own_links, page_date_text
 from posterwall.sources import html, inbox
@@ -119,3 +120,20 @@ def test_link_groups_and_date_text(spark):
     rows = [("t", ["5"], series), ("", ["Buy", "in jan"], series), ("", ["Buy"], [("", "", "9"), ("", "1 May", "10:00")]), ("", [], [("", "2 May", "")]), ("", [], [])]
     df = spark.createDataFrame(rows, f"a string, b array<string>, c {item}")
     assert [r[0] for r in df.select(page_date_text("a", "b", "c")).collect()] == ["t", "in jan", "1 May 10:00", "2 May", ""]
+
+
+def test_pages_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fixtures, "DEALT_ROWS", 100)
+    orders = spark.range(1000).selectExpr("id AS o_orderkey", "id AS o_custkey", "timestamp'1995-01-01' AS o_orderdate")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    for made in (page_queries._listing_pages(spark, str(tmp_path)), page_queries.listing_html(spark, str(tmp_path))):
+        sizes = made.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert len(sizes) >= 10 and max(sizes) <= 300
+
+
+def test_attributes_are_not_shared_between_pages():
+    page = '<p class="a b" id="x" title="1 > 0">t</p>'
+    first, second = html.parse_html(page), html.parse_html(page + page)
+    assert [len(html.select(p, "p#x.a.b")) for p in (first, second)] == [1, 2]
+    assert first.index.keys() == second.index.keys() == {"#x", ".a", ".b"}
+    assert html.select(html.parse_html("<p a='1\" b>\">x</p>"), "p") == []
