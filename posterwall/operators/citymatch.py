@@ -168,17 +168,19 @@ def match_address(targets: DataFrame, index: CityIndex) -> DataFrame:
 def _attach(df: DataFrame, cities: DataFrame, target: Column, match, out: str) -> DataFrame:
     """df with the matched city of each row.
 
-    The matches of the distinct targets are written first. Their size is then known: as long as
-    they fit a broadcast, the rows of df are not shuffled at all. Otherwise the join shuffles, and
-    AQE splits the partition of a target that many rows share.
+    The distinct targets are written first: the plan behind df runs once for them, and only they are
+    normalized. The matches are written as well, by the target as it stands in df. Their size is then
+    known: as long as they fit a broadcast, the rows of df are not shuffled at all. Otherwise the join
+    shuffles, and AQE splits the partition of a target that many rows share.
     """
-    keyed = df.withColumn("_target", F.nullif(normalize(target), F.lit("")))
-    targets = keyed.where(F.col("_target").isNotNull()).select(F.col("_target").alias("target")).distinct()
+    raw = materialize(df.select(target.alias("_raw")).where(F.col("_raw").isNotNull()).distinct(), "targets")
+    raw = raw.withColumn("_target", F.nullif(normalize("_raw"), F.lit(""))).where(F.col("_target").isNotNull())
+    targets = raw.select(F.col("_target").alias("target")).distinct()
     found = cities.select("city_ord", F.struct(*_CITY).alias(out))
-    matches = match(targets, build_index(cities)).join(found, "city_ord")
-    resolved = materialize(matches.select(F.col("target").alias("_target"), out), "matches")
-    width = F.length("_target") + F.length(F.col(out)["name"]) + 64
-    return keyed.join(broadcast_if_small(resolved, width), "_target", "left").drop("_target")
+    matches = match(targets, build_index(cities)).join(found, "city_ord").select(F.col("target").alias("_target"), out)
+    resolved = materialize(raw.join(matches, "_target").select("_raw", out), "matches")
+    width = F.length("_raw") + F.length(F.col(out)["name"]) + 64
+    return df.withColumn("_raw", target).join(broadcast_if_small(resolved, width), "_raw", "left").drop("_raw")
 
 
 def resolve_city(df: DataFrame, cities: DataFrame, target, out: str = "city") -> DataFrame:

@@ -9,7 +9,6 @@ from posterwall.functions.text import falsy_to_null, first_filled, join_filled,
 from posterwall.operators.citymatch import resolve_city
 from posterwall.operators.filters import missing_ids_reason, split_rejects
 from posterwall.plans.common import RunParameters, to_events
-from posterwall.session import materialize
 from posterwall.sources.feed import order_keys
 
 
@@ -20,9 +19,12 @@ def feed_events(rows: DataFrame, cities: DataFrame, params: RunParameters, keys=
     its event only.
     """
     target = first_filled("eventCity", F.lit(params.city_name))
-    # Written once: matching reads the rows twice, and the JSON behind them is parsed for each.
-    matched = resolve_city(materialize(rows, "feed"), cities, target)
-    point = pick_coordinates("venueLatitude", "venueLongitude", coordinates_from_struct("city.coordinates"))
+    # Not written in between: matching reads the rows once for their cities, and parsing them again costs
+    # less than writing every column, whether it is wanted or not.
+    matched = resolve_city(rows, cities, target)
+    # A column of its own, so that the numbers of a city are read once for each row.
+    matched = matched.withColumn("city_point", coordinates_from_struct("city.coordinates"))
+    point = pick_coordinates("venueLatitude", "venueLongitude", "city_point")
     event = matched.withColumns(
         {
             "city_id": first_filled(F.lit(params.city_id), F.col("city._id")),

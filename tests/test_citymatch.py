@@ -138,3 +138,20 @@ def test_plan_does_not_grow_with_names(spark):
 def test_no_cities(spark):
     assert _resolved(spark, [], ["Rio", "x"], cm.resolve_city) == {"Rio": None, "x": None}
     assert _resolved(spark, [], ["Rio, x"], cm.resolve_city_of_address) == {"Rio, x": None}
+
+
+def test_rows_are_read_once_for_their_targets_and_once_for_the_result(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    texts = ["Berlin", " BERLIN ", "Barcelona", "Rio Nuevo", "xyz", "", None] * 20
+    rdd = spark.sparkContext.parallelize([(i, t) for i, t in enumerate(texts)], 2).map(seen)
+    df = spark.createDataFrame(rdd, "id int, place string")
+    rows = cm.resolve_city(df, _cities(spark, NAMES), "place").collect()
+    assert read.value == 2 * len(texts)
+    cities = {r["place"]: r["city"] and r["city"]["_id"] for r in rows}
+    assert len(rows) == len(texts) and cities["Berlin"] == cities[" BERLIN "] == "0"
+    assert cities["xyz"] is None and cities[""] is None and cities[None] is None
