@@ -39,6 +39,22 @@ def events(spark, rows):
     return spark.createDataFrame(rows, EVENT)
 
 
+def test_slots_are_shuffled_once_and_frequent_titles_are_dealt_by_tour(spark, monkeypatch):
+    rows = [
+        (tour, o, f" {name}" if tour % 2 else name, place, T(2025, 1, 1 + o), None if tour % 3 else float(o), f"c{o}")
+        for tour in range(400) for o in range(2) for name, place in ((None if tour % 5 == 0 else "Show", "Hall"), (f"n{tour}", ""))
+    ]
+    slots = spark.createDataFrame(rows, SLOT)
+    order = F.struct("tour", "ord")
+    at_once = group_slots(slots, order, ["city"])
+    plan = at_once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "hashpartitioning(_title" in plan
+    dealt = group_slots(slots, order, ["city"], hot_rows=64)
+    assert "_deal" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert at_once.count() == 800
+    assert sorted(map(repr, dealt.collect())) == sorted(map(repr, at_once.collect()))
+
+
 def test_merge_duplicates(spark):
     d = dt.date
     merged = merge_duplicates(
