@@ -117,7 +117,9 @@ def staged_schedule_events(spark, sf_dir):
     """The flagship: slots to merged events in numbered batches of one run."""
     # Written once, as the sink does it: numbering reads its input more than once.
     events = materialize(merged_events(spark, sf_dir).withColumn("operation", F.lit("run-1")), "events")
-    return assign_batches(events, ["ord"]).select("name", "address", "city_id", "seq", "batch_number")
+    # Numbering moves its rows, so it gets the columns that are read.
+    wanted = events.select("operation", "ord", "name", "address", "city_id")
+    return assign_batches(wanted, ["ord"]).select("name", "address", "city_id", "seq", "batch_number")
 
 
 @query(
