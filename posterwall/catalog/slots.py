@@ -99,6 +99,8 @@ def merge_events_in_batches(spark, sf_dir):
     slots, _ = _open_slots(spark, sf_dir, fx.cities(spark, sf_dir))
     groups = materialize(grouped_slots(slots).withColumn("batch", F.pmod(F.xxhash64("tour"), F.lit(3))), "groups")
     states = [event_states(groups.where(F.col("batch") == i), F.col("ord"), EVENT_KEEP) for i in range(3)]
+    # Batch 0 comes twice, so its states are written once.
+    states[0] = materialize(states[0], "states")
     table = MergeTable(shared_dir(spark, "merging"), states[0].schema)
     table.add_batch(states[2], 2)
     table.add_batch(states[0], 0)
