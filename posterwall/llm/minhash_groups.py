@@ -6,20 +6,22 @@ candidate pairs; the k smallest values of the union of both sketches estimate th
 a margin of MARGIN standard deviations; the full sets decide.
 
 Links are needed to connect documents, not for their own sake, so lists are used in steps. First
-each document meets the roots of its lists: the smallest id of a short list, the ROOTS most central
-documents (most of whose values are in long lists) of a long one. Those not linked to a root of a long list
-meet the next most central documents, up to ROUNDS. Then pairs meet whose ends are not linked to
-the same root. A list is long if it holds more than LIST rows. Documents use the first INDEX
-retained values whose lists are short. Those that share more than HEAVY of their sketch with long
-lists use these, too. So a passage in very many documents forms no pairs, and a large group of
-copies forms about one pair per document.
+each document meets the smallest id of its short lists. Of the ROOTS most central documents (most of whose
+values are in long lists) of each of its long lists it meets the NEAREST that it has the most lists in common
+with. Those not linked to one of these meet the next most central documents, up to ROUNDS. Then pairs of short
+lists meet whose ends are not linked to the same root. A list is long if it holds more than LIST rows. Documents
+use the first INDEX retained values whose lists are short. Those that share more than HEAVY of their sketch with
+long lists use these, too. So documents form at most NEAREST pairs each in a round by long lists, however many
+share a passage, and a large group of copies forms about one pair per document.
 
 Roots alone leave near copies apart that are put together from passages which are each frequent, as
 these resemble no central document of their lists. So the documents that share more than HEAVY of their
 sketch with long lists are joined again exactly, by prefixes: the values of their full sets are put in one
 order, the rarest among them first. Two similar sets share a value of the first n - ceil(t * n) + 1 of
-each, whatever the order is. Each list of such values is met in full by its documents outside its largest
-component: no list, group or component is cut, and pairs that are connected already are not formed again.
+each, whatever the order is, and it is among the first n - ceil(2 * t * n / (1 + t)) + 1, the short prefix, of
+the smaller one. Each list of such values is met by its documents outside its largest component, in full where
+one of the two has the value in its short prefix: no list, group or component is cut, and pairs that are
+connected already are not formed again.
 
 A pair of similarity t misses all INDEX values with probability (1 - t) ** INDEX. A pair at the limit
 whose sets are beyond the sketch falls below the margin with the tail of the binomial distribution
@@ -47,6 +49,7 @@ LIST = 16
 HEAVY = 0.35
 ROUNDS = 2
 ROOTS = 3
+NEAREST = 2
 MARGIN = 7.0
 # Documents of the input for each file of a table in between, at least.
 ROWS_A_FILE = 2048
@@ -195,23 +198,33 @@ class _Search:
         rank = F.row_number().over(Window.partitionBy("id").orderBy("pos"))
         mostly = mostly.withColumn("rank", rank).where(F.col("rank") <= INDEX)
         mostly = self.kept(mostly.select("id", "n", "value", "heavy", "central"), "minhash-long")
-        first = self.kept(_rooted(mostly, mostly), "minhash-rooted")
-        tested = self.verified(roots.unionByName(first))
+        met = self.kept(self._rooted(mostly, mostly), "minhash-rooted")
+        tested = self.verified(roots.unionByName(self.estimated(met)))
         linked = self._similar(tested)
         # Those that their roots did not take meet the next most central documents of their lists.
-        met = first
         for _ in range(ROUNDS - 1):
             used = met.select(F.col("a").alias("id")).distinct()
             taken = met.join(linked.hint("merge"), ["a", "b"], "left_semi").select(F.col("b").alias("id")).unionAll(used).distinct()
             apart = mostly.join(taken.hint("merge"), "id", "left_anti")
-            more = self.kept(_rooted(mostly.join(used.hint("merge"), "id", "left_anti"), apart), "minhash-rooted")
-            found = self.verified(more)
+            more = self.kept(self._rooted(mostly.join(used.hint("merge"), "id", "left_anti"), apart), "minhash-rooted")
+            found = self.verified(self.estimated(more))
             tested, met, linked = tested.unionByName(found), met.unionByName(more), linked.unionByName(self._similar(found))
 
         root = linked.groupBy(F.greatest("a", "b").alias("id")).agg(F.min(F.least("a", "b")).alias("root"))
         rest = self._unrooted(pairs, root).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        beyond = self.estimated(self._beyond(met.join(tested.hint("merge"), ["a", "b"]), linked))
-        return linked.unionByName(self._similar(self.verified(rest.unionByName(beyond))))
+        return linked.unionByName(self._similar(self.verified(rest)))
+
+    def _rooted(self, leaders: DataFrame, members: DataFrame) -> DataFrame:
+        """a, b: each member and the NEAREST of the most central leaders of its lists, by the lists in common; sizes must fit."""
+        order = Window.partitionBy("value").orderBy(F.desc("heavy"), F.desc("central"), "id")
+        best = leaders.withColumn("place", F.row_number().over(order)).where(F.col("place") <= ROOTS)
+        best = best.select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("heavy").alias("ha"), F.col("central").alias("ca"))
+        met = members.select("value", F.col("id").alias("b"), F.col("n").alias("nb")).join(best.hint("merge"), "value")
+        met = met.where((F.col("a") != F.col("b")) & self.sizes_fit(F.col("na"), F.col("nb")))
+        common = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.max("ha").alias("ha"), F.max("ca").alias("ca"))
+        # Equally near ones by centrality, so that the members of a group agree.
+        near = Window.partitionBy("b").orderBy(F.desc("common"), F.desc("ha"), F.desc("ca"), "a")
+        return common.withColumn("place", F.row_number().over(near)).where(F.col("place") <= NEAREST).select("a", "b")
 
     def prefix_links(self, found: DataFrame) -> DataFrame:
         """Links between the components found(id, component) among the documents of long lists, by prefixes of their full sets."""
@@ -219,12 +232,16 @@ class _Search:
         parts = prefixes.groupBy("value", "component").agg(F.count(F.lit(1)).alias("cnt"))
         several = parts.groupBy("value").agg(F.count(F.lit(1)).alias("several"), F.max_by("component", "cnt").alias("main"))
         lists = prefixes.join(several.where("several > 1").select("value", "main").hint("merge"), "value")
-        left = lists.where("component <> main").select("value", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "n", "pos")])
-        right = lists.select("value", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "n", "pos")])
+        # The smaller one of a pair has the value in its short prefix, so of two rows one is short.
+        lists = lists.withColumn("short", (100 + self.percent) * (F.col("n") - F.col("pos")) >= 2 * self.percent * F.col("n"))
+        of = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n", "pos")]
+        partners = F.when(F.col("short"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+        left = lists.where("component <> main").select("value", *of("a"), F.explode(partners).alias("short"))
+        right = lists.select("value", *of("b"), "short")
         # Of the values both share the first one in the order is at places that leave enough for the rest.
         rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
         fit = (100 + self.percent) * rest >= self.percent * (F.col("n_a") + F.col("n_b"))
-        met = left.join(right.hint("merge"), "value").where((F.col("component_a") != F.col("component_b")) & fit)
+        met = left.join(right.hint("merge"), ["value", "short"]).where((F.col("component_a") != F.col("component_b")) & fit)
         pairs = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
         return self._similar(self.verified(self.estimated(pairs)))
 
@@ -256,39 +273,6 @@ class _Search:
         both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
         return both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
-    def _beyond(self, rooted: DataFrame, linked: DataFrame) -> DataFrame:
-        """Pairs below one root that may be linked although one of them is not linked to it.
-
-        rooted(a: root, b, inter, na, nb). What both share within the root is at most the smaller
-        of their overlaps with it; that must reach what sets of their sizes need. Pairs that share
-        too little with any one root are left to prefix_links.
-        """
-        need = self.percent / (100 + self.percent)
-        ends = linked.withColumn("yes", F.lit(True))
-        rows = rooted.join(ends.hint("merge"), ["a", "b"], "left").select(
-            F.col("a").alias("root"), F.col("b").alias("id"), "inter", F.col("nb").alias("n"), F.coalesce("yes", F.lit(False)).alias("yes")
-        )
-        rows = self.kept(rows, "minhash-rooted")
-        least = rows.groupBy("root").agg(F.min("n").alias("least"))
-        loose = rows.where(~F.col("yes")).join(least, "root").where(F.col("inter") >= need * (F.col("n") + F.col("least")))
-        # Within a root, sizes that fit lie in the same or a neighbouring band.
-        band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(self.percent / 100))).cast("int")
-        x = loose.select("root", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("id").alias("x"),
-                         F.col("inter").alias("ix"), F.col("n").alias("nx"))
-        y = rows.select("root", band.alias("band"), F.col("id").alias("y"), F.col("inter").alias("iy"), F.col("n").alias("ny"))
-        met = x.join(y.hint("merge"), ["root", "band"]).where(
-            (F.col("x") != F.col("y")) & (F.least("ix", "iy") >= need * (F.col("nx") + F.col("ny")))
-        )
-        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def _rooted(leaders: DataFrame, members: DataFrame) -> DataFrame:
-    """a, b: the ROOTS most central leaders of each list of values, and each member of the list."""
-    order = Window.partitionBy("value").orderBy(F.desc("heavy"), F.desc("central"), "id")
-    best = leaders.withColumn("place", F.row_number().over(order)).where(F.col("place") <= ROOTS)
-    best = best.select("value", F.col("id").alias("a"))
-    return members.join(best.hint("merge"), "value").where("a <> id").select("a", F.col("id").alias("b")).distinct()
-
 
 def connected(links: DataFrame, files: int | None = None) -> DataFrame:
     """id, component (smallest id reachable) of the ends of links(a, b).

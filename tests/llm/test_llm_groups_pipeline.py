@@ -135,6 +135,37 @@ def test_near_copies_that_only_a_small_part_tells_from_all_others(spark):
     assert got == expected(rows, 3, 85) and sum(not r[3] for r in got) >= 200
 
 
+def one_passage(n, share, copies):
+    """n documents that are alike in one passage, that share of their words, and as many near copies of one text as given."""
+    rng = random.Random(n)
+    words = lambda k: ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(k)]
+    passage, base = words(share), words(100)
+    texts = [[*passage, *words(100 - share)] for _ in range(n)] + [changed(rng, base, rng.choice((0.01, 0.02, 0.03))) for _ in range(copies)]
+    rng.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("share", [60, 92])
+def test_a_frequent_passage_forms_few_pairs_a_document(spark, monkeypatch, share):
+    rows = one_passage(300, share, 100)
+    counts = []
+
+    def counted(name, step):
+        def run(self, pairs):
+            pairs = pairs.select("a", "b").distinct().cache()
+            counts.append((name, pairs.count()))
+            return step(self, pairs)
+        return run
+
+    for name in ("estimated", "verified"):
+        monkeypatch.setattr(minhash_groups._Search, name, counted(name, getattr(minhash_groups._Search, name)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, minhash_groups.components(docs, 3, 85).collect()), key=repr)
+    assert got == expected(rows, 3, 85)
+    for step in ("estimated", "verified"):
+        assert sum(n for name, n in counts if name == step) <= 5 * len(rows), counts
+
+
 def test_groups_of_edge_rows_and_none(edges, nothing):
     rows = [(r.doc_id, r.text) for r in edges.select("doc_id", "text").collect()]
     got = sorted(map(tuple, minhash_groups.components(edges, 3, 85).collect()), key=repr)
