@@ -1,0 +1,143 @@
+"""Event pages are scanned as the tree reads them, and only the pages that are linked."""
+
+import random
+import time
+from itertools import islice
+from urllib.parse import urljoin
+
+import pytest
+from pyspark.sql import functions as F
+
+from posterwall.catalog import fixtures, pages as page_queries
+from posterwall.session import spread_rows
+from posterwall.sources import html, inbox, tables
+from posterwall.sources.tables import lookup_pages, parsed_pages
+
+
+def of_tree(document: str, url: str) -> tuple:
+    """The fields of an event page by the tree."""
+    page = html.parse_html(document)
+    first = lambda selector: next((html._text(n) for n in html._found(page, selector)), "")
+    prices = {n for s in html.EVENT_PAGE["price_texts"] for n in html._found(page, s)}
+    image = next((n.get("src") or "" for n in html._found(page, "#hero-image")), "")
+    series = []
+    for link in html._found(page, "#event-header a.series-item"):
+        texts = [html._text(p) for p in islice(html._found(link, "p.text-body"), 2)] + ["", ""]
+        series.append((link.get("href", ""), texts[0], texts[1]))
+    return (
+        first("#event-header h1"), first("#event-header p.time"), [html._text(n) for n in html.select(page, "#event-header button")],
+        first("#event-header p.location"), first("#gmap .card-body p"), next((html._inner_html(n) for n in html._found(page, "#desc")), ""),
+        image and urljoin(url, image), [html._text(n) for n in page.root.iter() if n in prices], series,
+    )
+
+
+TAGS = "div p a h1 b br img button span li ul title script style textarea table tr td param document x:y".split()
+ATTRIBUTES = [
+    'id="event-header"', "id=desc", "id='gmap'", 'id="hero-image"', 'class="card-body"', 'class="price x"', 'class="ticket"', 'class="ticket-price"',
+    'class="time"', "class=location", 'class="series-item"', 'class="text-body"', 'CLASS="price"', 'src="/img/1.jpg"', 'src="img/a.jpg"', 'src="/a/../b"',
+    'src="https://o/x.png"', 'src="/a//b?q#f"', 'src=""', 'href="https://fienta.com/x#1"', "href", 'title="a > b &amp;  "', '{q}="1"',
+]
+TEXTS = ["x", "a &amp; b", "&lt;", "<", "< b", ">", "&am", "p;", "&nbsp;", "\n t ", "é", "<!-- c <p> -->", "<!x>", "</", "</ p>", "</ſcript>", "</scriptx>", "<script/>"]
+ENDS = ["", "", "", "<!--", "<!x", "<a 'q", '<p title="', "<title", "<script src='"]
+
+
+def odd_page(r: random.Random) -> str:
+    out, opened = [], []
+    for _ in range(r.randint(1, 40)):
+        kind = r.random()
+        if kind < 0.45:
+            opened.append(r.choice(TAGS))
+            out.append(f"<{opened[-1]} {' '.join(r.sample(ATTRIBUTES, r.choice((0, 0, 1, 2))))}{r.choice(('>', '>', '/>'))}")
+        elif kind < 0.7:
+            out.append(f"</{opened.pop() if opened and r.random() < 0.8 else r.choice(TAGS).upper()}>")
+        else:
+            out.append(r.choice(TEXTS))
+    return "".join(out)
+
+
+def test_scan_finds_what_the_tree_holds():
+    for seed in range(3000):
+        r = random.Random(seed)
+        page = odd_page(r)
+        if seed % 2:
+            some = lambda: odd_page(r)
+            page = (
+                f'<div id="event-header">{some()}<h1>{some()}</h1><p class="time">{some()}</p><a class="series-item" href="/q">{some()}<p class="text-body">{some()}</a>'
+                f'</div><div id=desc>{some()}</div><div class="ticket">{some()}<i class="price ticket-price">{some()}</i></div>{page}'
+            )
+        page, url = page + r.choice(ENDS), r.choice(["https://fienta.com/1", "", "http://a.b:80/x/y?z#q", "HTTPS://A/b"])
+        assert html.read_event_page(page, url) == of_tree(page, url), page
+
+
+def test_event_pages_need_no_tree(monkeypatch):
+    def no_tree(_):
+        raise AssertionError("a tree was built")
+
+    monkeypatch.setattr(html, "parse_html", no_tree)
+    page = '<div id="event-header"><h1>A</h1></div><div id="desc"><p>B<p class="a">C<br>&amp;</div><img id="hero-image" src="/i.jpg">'
+    read = dict(zip(html.EVENT_PAGE, html.read_event_page(page, "https://fienta.com/1")))
+    assert (read["name"], read["image"]) == ("A", "https://fienta.com/i.jpg")
+    assert read["description"] == '<p>B</p><p class="a">C<br>&amp;</p>'
+
+
+@pytest.mark.parametrize("unit", ["<!--", '<a "', "<a <", "<title>", "<p>", "<p class=price>", "&amp;<b>"])
+def test_scanning_time_is_linear(unit):
+    def seconds(n: int) -> float:
+        page = "<p>x</p>" + unit * (n // len(unit))
+        start = time.perf_counter()
+        html.read_event_page(page, "")
+        return time.perf_counter() - start
+
+    seconds(10_000)
+    assert seconds(400_000) < 10 * max(seconds(200_000), 0.05)
+
+
+def test_lists_become_columns(spark):
+    documents = ['<div id="event-header"><a class="series-item" href="h"><p class="text-body">d</a><button>1</button><button>2</button></div>', None, ""]
+    pages = spark.createDataFrame([(str(i), d) for i, d in enumerate(documents)], "url string, html string").repartition(2)
+    rows = html.extract_event_pages(pages).orderBy("url").collect()
+    assert [tuple(s) for s in rows[0]["series"]] == [("h", "d", "")] and rows[0]["button_texts"] == ["1", "2"]
+    assert [(r["series"], r["price_texts"], r["name"]) for r in rows[1:]] == [([], [], "")] * 2
+    assert html.extract_event_pages(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_html_of_other_pages_is_not_worked_out(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(tables, "broadcast_if_small", lambda df, *_: df)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        url = F.concat(F.lit("https://a/"), F.col("id"))
+        page = F.when(F.col("id") < 10, F.concat(F.lit('<div id="event-header"><h1>'), "id", F.lit("</h1></div>"))).otherwise(F.raise_error(F.lit("read")))
+        pages = spark.range(100).select(url.alias("url"), page.alias("html"))
+        links = spark.range(5).select(url.alias("url"))
+        assert sorted(r["name"] for r in parsed_pages(pages, links, html.extract_event_pages).collect()) == list("01234")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_one_of_several_pages_counts(spark):
+    page = lambda name: f'<div id="event-header"><h1>{name}</h1></div>'
+    rows = [("a", page("1")), ("a", page("2")), ("a", page("2")), ("b", page("3")), ("b", page("3")), ("c", page("4")), ("d", page("5")), (None, page("6")), ("e", None), ("e", None)]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    links = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), ("e",), ("z",), (None,)], "url string")
+    found = [sorted((r["url"], r["name"]) for r in parsed_pages(p, links, html.extract_event_pages).collect()) for p in (pages, pages.repartition(3))]
+    assert [u for u, _ in found[0]] == ["a", "b", "c", "e"] and found[0] == found[1]
+    looked_up = lookup_pages(links.withColumnRenamed("url", "href"), spark.createDataFrame(found[0], "url string, name string"))
+    assert sorted((r["href"] or "", r["found"]) for r in looked_up.collect()) == [("", False), ("a", True), ("a", True), ("b", True), ("c", True), ("e", True), ("z", False)]
+
+
+def test_rows_of_one_file_are_spread(spark, tmp_path):
+    spark.range(40).selectExpr("cast(id AS STRING) AS _id", "'[]' AS data").coalesce(1).write.parquet(str(tmp_path / "inbox"))
+    batch = spark.read.parquet(str(tmp_path / "inbox"))
+    assert batch.rdd.getNumPartitions() == 1
+    assert spread_rows(batch).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    checked = inbox.check_dumps(spread_rows(batch))
+    assert checked.where("error IS NULL").count() == 40 and inbox.explode_checked(checked).count() == 0
+
+
+def test_dumps_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fixtures, "DEALT_ROWS", 100)
+    spark.range(1000).selectExpr("id AS o_orderkey", "id AS o_custkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    made = page_queries.listing_dumps(spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() >= 10 and made.count() == 1000
